@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, near_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 SQL = {
     "op1_chat_format": chat_format.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
