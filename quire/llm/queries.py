@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, near_dedup
+from . import chat_format, decontaminate, mixing, near_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op1_chat_format": chat_format.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
