@@ -13,8 +13,8 @@ between different components is left out.
 pairs whose signatures agree by more than 5 standard deviations less than the threshold (3e-7).
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a null doc_id can't be named by a group, so
-its row stays alone (component_id null, kept); rows that repeat a doc_id are judged each by its own text; repeated rows are
-equal sets of one class; ties go to the smaller doc_id; other columns play no part; an empty table gives no rows.
+its row stays alone (component_id null, kept); rows that repeat a doc_id are one document with several texts, linked by any
+of them; repeated rows are equal sets of one class; ties go to the smaller doc_id; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
