@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: anything between ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
-#: Characters beyond these may have a lower-case form outside A-Z.
-_PLAIN = r"[^\x00-\x7F -¿ß-ÿ‐-‧]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +49,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z in lower case, every other character as it is. lower() is used where it can't do more than that."""
-    return F.when(c.rlike(_PLAIN), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
+    """A-Z in lower case, every other character as it is."""
+    return F.translate(c, UPPER, LOWER)
 
 
 def count_words(c: Column) -> Column:

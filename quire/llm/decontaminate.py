@@ -24,12 +24,21 @@ SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS = 200_000
 
 
+def parts_of(text: Column) -> Column:
+    """The words of the text, with an empty part before or after them where the text begins or ends with other characters.
+    Words are maximal runs of letters a-z after lower-casing A-Z, digits and non-ASCII characters."""
+    return F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPLIT)
+
+
 def words_of(text: Column) -> Column:
-    """The words of the text: maximal runs of letters a-z after lower-casing A-Z, digits and non-ASCII characters."""
-    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPLIT)
-    head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-    tail = F.when((F.size(parts) > head) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, head + 1, F.size(parts) - head - tail)
+    return F.array_remove(parts_of(text), "")
+
+
+def count_parts(parts: Column) -> Column:
+    """The number of words among the parts."""
+    first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - first - last).cast("long")
 
 
 def item_windows(items: DataFrame, item_col="item_id", text_col="text") -> DataFrame:
@@ -52,7 +61,7 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     windows = written(item_windows(items), name="windows")
     small = windows.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else lambda df: df
-    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), words_of(F.col(text_col)).alias("w"))
+    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), parts_of(F.col(text_col)).alias("w"))
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     counts = split.select(F.explode("w").alias("word")).join(hint(vocabulary), "word").groupBy("word").count()
     index = written(prefixes(windows, counts), name="prefixes")
@@ -68,7 +77,7 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     start = F.col("pos") + 1 - F.col("at")
     found = near.join(hint(index), "word").filter(fits(start))
     found = found.filter(F.when(start >= 1, part(start, F.col("n"))) == F.col("window"))
-    return split.select("doc_id", "h", F.size("w").cast("long").alias("n_words")), found.select("doc_id", "h", start.alias("start"), (start + F.col("n")).alias("stop"), "items")
+    return split.select("doc_id", "h", count_parts(F.col("w")).alias("n_words")), found.select("doc_id", "h", start.alias("start"), (start + F.col("n")).alias("stop"), "items")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
