@@ -5,7 +5,7 @@
 2. Buckets of equal bands: every representative is held against the least and the greatest of its bucket on the full sets.
    The links found give components.
 3. Buckets that still hold several components: their members are compared across components, in blocks of bounded size,
-   by whole signatures; pairs that could still reach the threshold are verified on the full sets.
+   by whole signatures, and pairs that could still reach the threshold on the full sets, until they are joined.
 Pairs inside a component need no comparison, so a coherent group of n texts costs n comparisons, not n squared, and no link
 between different components is left out.
 
@@ -87,14 +87,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int, coordinates: int):
-    """mapInArrow over blocks of buckets: pairs of different components that share no earlier band and may be near."""
+    """mapInArrow over blocks of buckets: links between different components, on the full sets. Pairs that share an earlier
+    band are left to that band; pairs that links found here have joined need no comparison. At most one link for each
+    member comes out of a block."""
     p = percent / 100
     floor = (p - 5 * math.sqrt(p * (1 - p) / coordinates)) * coordinates
     fields = ("key", "i", "j")
 
-    def pairs_of(g: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links_of(g: dict, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         first, second = np.flatnonzero(g["own"] == g["i"][0]), np.flatnonzero(g["own"] == g["j"][0])
         low, bands, comp, rep = g["low"], g["bands"], g["comp"], g["rep"]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
         for at in range(0, len(first), 64):
             x = first[at : at + 64]
             ok = (comp[x][:, None] != comp[second][None]) & (rep[x][:, None] < rep[second][None] if g["i"][0] == g["j"][0] else True)
@@ -102,40 +112,51 @@ def _across(percent: int, coordinates: int):
             if not len(a):
                 continue
             a, b = x[a], second[b]
-            keep = (low[a] == low[b]).sum(1) >= floor
-            a, b = a[keep], b[keep]
-            same = bands[a] == bands[b]
-            keep = same.argmax(1) == g["band"][a]
-            yield rep[a[keep]], rep[b[keep]]
+            alike = (low[a] == low[b]).sum(1)
+            keep = alike >= floor
+            a, b, alike = a[keep], b[keep], alike[keep]
+            keep = (bands[a] == bands[b]).argmax(1) == g["band"][a]
+            a, b, alike = a[keep], b[keep], alike[keep]
+            for k in np.argsort(-alike, kind="stable"):
+                u, v = find(int(comp[a[k]])), find(int(comp[b[k]]))
+                if u == v:
+                    continue
+                s, t = sets[a[k]], sets[b[k]]
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    continue
+                at_t = np.searchsorted(t, s)
+                common = int((t[np.minimum(at_t, len(t) - 1)] == s).sum())
+                if 100 * common >= percent * (len(s) + len(t) - common):
+                    root[max(u, v)] = min(u, v)
+                    yield int(rep[a[k]]), int(rep[b[k]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
             g = {k: t.column(k).to_numpy() for k in ("key", "i", "j", "own", "band", "rep", "comp")}
             g["low"] = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(t.num_rows, coordinates)
             g["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, coordinates // ROWS)
+            s = t.column("s").combine_chunks()
+            ends, flat = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())]), s.flatten().to_numpy().view(np.uint64)
             cuts = np.flatnonzero(np.any([g[f][1:] != g[f][:-1] for f in fields], axis=0)) + 1
-            found_a, found_b = [], []
+            found = []
             for lo, hi in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
-                for a, b in pairs_of({k: v[lo:hi] for k, v in g.items()}):
-                    found_a.append(np.minimum(a, b)), found_b.append(np.maximum(a, b))
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                found += links_of({k: v[lo:hi] for k, v in g.items()}, [flat[ends[k] : ends[k + 1]] for k in range(lo, hi)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not t.num_rows:
                 continue
-            last = [t.column(f)[t.num_rows - 1].as_py() for f in fields]
-            same = np.all([t.column(f).to_numpy() == v for f, v in zip(fields, last, strict=True)], axis=0)
+            keys = [t.column(f).to_numpy() for f in fields]
+            same = np.all([k == k[-1] for k in keys], axis=0)
             cut = t.num_rows - int(same.sum())  # rows are sorted: the last group may go on
             if cut:
                 yield from done(pa.concat_tables([*held, t.slice(0, cut)]))
                 held = [t.slice(cut)]
-            elif held and any(held[-1].column(f)[0].as_py() != v for f, v in zip(fields, last, strict=True)):
+            elif held and any(held[-1].column(f)[0].as_py() != k[-1] for f, k in zip(fields, keys, strict=True)):
                 yield from done(pa.concat_tables(held))
                 held = [t]
             else:
@@ -154,8 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     usable = sketches.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), name="classes")
     first = F.row_number().over(W.partitionBy("n", "d1", "d2").orderBy("doc_id"))
-    reps = usable.withColumn("first", first).filter("first = 1").select(F.col("doc_id").alias("rep"), "low", "bands")
-    banded = usable.join(classes.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key")).distinct()
+    reps = written(usable.withColumn("first", first).filter("first = 1").select(F.col("doc_id").alias("rep"), "low", "bands"), name="reps")
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     members = written(banded.join(ends, "key"), name="members")
 
@@ -168,11 +189,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     left = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = left.join(reps, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("band").cast("long").alias("band"), "rep", "comp", "low", "bands"
+    dealt = left.join(reps, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("band").cast("long").alias("band"), "rep", "comp", "low", "bands", "s"
     )
-    across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent, bands * ROWS), "a long, b long").distinct()
-    more = verified(across, sets, percent)
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent, bands * ROWS), "a long, b long").distinct()
     found = connected_components(links.union(more))
 
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("component"))
