@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, near_dedup, sharding
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_language_id": language_id.op2_language_id,
     "op3_shard": sharding.op3_shard,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_pii": pii.op6_pii,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op1_chat_format": chat_format.SQL,
     "op3_shard": sharding.SQL,
+    "op8_line_dedup": line_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
