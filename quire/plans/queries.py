@@ -1,6 +1,345 @@
-"""The queries of the document-structure operators and their SQL."""
+"""The queries of the document-structure operators and their SQL.
+
+Texts come from `documents` (a document's lines), outlines from the star schema, whose names make lines of the heading
+grammar, context from `conversations` (a conversation is a document, a turn a chunk).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import headings as hd
+from ..functions import sql as s
+from ..functions import text as tx
+from ..operators import documents as dc
+from ..operators import figures as fg
+from ..operators import lines as ln
+from ..operators import outline as ol
+from ..operators import retrieval as rt
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def doc_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, line_no, text): the lines of the documents."""
+    return _table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+LINES = "lines AS (SELECT doc_id, u.i - 1 AS line_no, u.t AS text FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(t, i))"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, {s.squeeze(s.fold_symbols('text'))} AS cleaned FROM lines")
+def clean_text_lines(spark, d):
+    return doc_lines(spark, d).select("doc_id", "line_no", tx.clean_text(F.col("text")).alias("cleaned"))
+
+
+SIGNS = "  ≤ ≥ × “q” – ∑ •\tx"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, {s.squeeze(s.fold_symbols('text || ' + s.q(SIGNS)))} AS folded FROM lines")
+def fold_symbols(spark, d):
+    return doc_lines(spark, d).select("doc_id", "line_no", tx.squeeze(tx.fold_symbols(F.concat("text", F.lit(SIGNS)))).alias("folded"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, {s.est_tokens('text')} AS n_tokens FROM lines")
+def est_tokens_lines(spark, d):
+    return doc_lines(spark, d).select("doc_id", "line_no", tx.est_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(f"WITH {LINES}, t AS (SELECT doc_id, line_no, {s.split_sentences('text')} AS ss FROM lines) SELECT doc_id, line_no, CAST(len(ss) AS BIGINT) AS n_sentences, coalesce(ss[1], '') AS first_one, coalesce(ss[-1], '') AS last_one FROM t")
+def split_sentences(spark, d):
+    ss = tx.split_sentences(F.col("text"))
+    one = lambda k: F.coalesce(F.try_element_at("ss", F.lit(k)), F.lit(""))
+    return doc_lines(spark, d).select("doc_id", "line_no", ss.alias("ss")).select("doc_id", "line_no", F.size("ss").cast("long").alias("n_sentences"), one(1).alias("first_one"), one(-1).alias("last_one"))
+
+
+@query(f"WITH {LINES} SELECT {s.norm_key('text')} AS key, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY 1")
+def norm_key(spark, d):
+    return doc_lines(spark, d).groupBy(tx.norm_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A source is a document, a document a page of it, a line's place its height."""
+    rows = _table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.split("text", "\n").alias("ls")).filter("ls IS NOT NULL")
+    n = F.size("ls")
+    return rows.select("doc_id", "page", n.cast("double").alias("page_h"), F.posexplode("ls").alias("line_no", "text")).select("doc_id", "page", "page_h", F.col("line_no").cast("long").alias("line_no"), "text", F.col("line_no").cast("double").alias("y"), (F.lit(8.0) + F.pmod(F.length("text"), F.lit(5))).alias("size"))
+
+
+PAGES = "pl AS (SELECT source AS doc_id, doc_id AS page, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS page_h, u.i - 1 AS line_no, u.t AS text, CAST(u.i - 1 AS DOUBLE) AS y, 8.0::DOUBLE + length(u.t) % 5 AS size FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(t, i))"
+REPEATS = rf"""rr AS (SELECT *, y / page_h AS ratio, {s.norm_key("text")} AS key FROM pl),
+fr AS (SELECT doc_id, page, key, arg_min(ratio, line_no) AS ratio FROM rr WHERE (ratio <= 0.10 OR ratio >= 0.75) AND key <> '' AND (length(key) >= 3 OR regexp_matches(text, '{ln.PAGE_NUMBER}')) GROUP BY 1, 2, 3),
+pg AS (SELECT doc_id, count(DISTINCT page) AS pages FROM pl GROUP BY 1),
+rep AS (SELECT doc_id, key, count(*) AS n_pages FROM fr JOIN pg USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, floor(pages * 0.3::DOUBLE)) AND max(ratio) - min(ratio) <= 0.02)"""
+
+
+@query(f"WITH {PAGES}, {REPEATS} SELECT doc_id, key, n_pages FROM rep")
+def repeat_lines(spark, d):
+    return ln.repeated_lines(page_lines(spark, d))
+
+
+@query(rf"""WITH {PAGES}, {REPEATS} SELECT r.doc_id, r.page, r.line_no FROM rr r LEFT JOIN rep USING (doc_id, key)
+WHERE NOT (((ratio <= 0.10 OR ratio >= 0.75) AND rep.n_pages IS NOT NULL) OR (NOT (ratio > 0.10 AND ratio < 0.84) AND (regexp_matches(text, '{ln.PAGE_NUMBER}') OR regexp_matches(text, '{ln.FOOTER}'))))""")
+def drop_boilerplate(spark, d):
+    return ln.drop_boilerplate(page_lines(spark, d)).select("doc_id", "page", "line_no")
+
+
+@query(f"WITH {PAGES}, z AS (SELECT doc_id, size, sum(length(text)) AS n, min(page * 1000000 + line_no) AS pos FROM pl GROUP BY 1, 2) SELECT doc_id, size AS body_size FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1")
+def body_size_mode(spark, d):
+    return ln.body_size(page_lines(spark, d))
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT *, CASE WHEN line_no % 3 = 0 AND page % 2 = 0 THEN text || ' ........ 12' ELSE text END AS tt FROM pl),
+m AS (SELECT *, sum(CASE WHEN regexp_matches(tt, '\\.{{4,}}\\s*[0-9]*\\s*$') THEN 1 ELSE 0 END) OVER w AS n, min(CASE WHEN regexp_matches(tt, '\\.{{4,}}\\s*[0-9]*\\s*$') THEN y END) OVER w AS y0 FROM t WINDOW w AS (PARTITION BY doc_id, page))
+SELECT doc_id, page, line_no FROM m WHERE (n < 4 OR y < y0) AND NOT regexp_matches(tt, '\\.{{4,}}\\s*[0-9]*\\s*$')""")
+def toc_cutoff(spark, d):
+    leader = F.when((F.col("line_no") % 3 == 0) & (F.col("page") % 2 == 0), F.concat("text", F.lit(" ........ 12"))).otherwise(F.col("text"))
+    return ln.before_toc(page_lines(spark, d).withColumn("text", leader)).select("doc_id", "page", "line_no")
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT *, y >= page_h * 0.70 AND size > 0 AND size <= 9.0 AS small, length(text) % 2 = 0 AS ref_start FROM pl),
+m AS (SELECT *, max(CASE WHEN small THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y DESC, line_no DESC ROWS UNBOUNDED PRECEDING) = 0 AS note FROM t),
+n AS (SELECT *, bool_or(note AND ref_start) OVER (PARTITION BY doc_id, page) AS noted FROM m) SELECT doc_id, page, line_no FROM n WHERE NOT (note AND noted)""")
+def footnote_cutoff(spark, d):
+    rows = page_lines(spark, d).withColumns({"body_size": F.lit(10.0), "ref_start": F.length("text") % 2 == 0})
+    return ln.without_footnotes(rows).select("doc_id", "page", "line_no")
+
+
+def _boxed(spark, d):
+    return page_lines(spark, d).withColumns({"x0": F.lit(50.0), "x1": F.lit(50.0) + F.length("text"), "y1": F.col("y") + 1})
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page, line_no FROM pl WHERE NOT (page % 3 = 0 AND 50.0 + length(text) / 2.0 BETWEEN 60 AND 100 AND y + 0.5 BETWEEN 1 AND 4)")
+def lines_outside_tables(spark, d):
+    rows = _boxed(spark, d)
+    boxes = rows.filter(F.col("page") % 3 == 0).select("doc_id", "page", F.lit(60.0).alias("x0"), F.lit(1.0).alias("y0"), F.lit(100.0).alias("x1"), F.lit(4.0).alias("y1")).distinct()
+    return ln.outside_boxes(rows, boxes).select("doc_id", "page", "line_no")
+
+
+@query(f"""WITH {PAGES} SELECT doc_id, page, 3 * (line_no // 3) AS y, string_agg(text, ' ' ORDER BY line_no) AS text FROM pl GROUP BY 1, 2, 3""")
+def join_same_row(spark, d):
+    rows = _boxed(spark, d).withColumns({"x0": (F.col("line_no") % 3).cast("double"), "bold": F.lit(False)})
+    out = ln.join_rows(rows)
+    return out.select("doc_id", "page", F.col("y").cast("long").alias("y"), "text")
+
+
+@query("""WITH g AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS line_id, regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g') AS text FROM g""")
+def ghost_space_rebuild(spark, d):
+    """Glyphs of ten points each with blanks between them: the words come back."""
+    t = _table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.left("text", F.lit(40)), "")).alias("char_no", "c"))
+    glyphs = t.select("line_id", F.lit(0.0).alias("dir_y"), F.lit(0).alias("span_no"), F.lit(10.0).alias("size"), "char_no", F.translate("c", "\n", " ").alias("c"), (F.col("char_no") * 5.0).alias("x0"), (F.col("char_no") * 5.0 + 5).alias("x1"))
+    return ln.rebuild_spaces(glyphs)
+
+
+def _estimated(n: str) -> str:
+    return f"""WITH RECURSIVE {LINES}, p AS (SELECT doc_id, line_no, CAST(length(text) AS BIGINT) AS n FROM lines),
+f AS (SELECT doc_id, line_no, CASE WHEN n >= {n} THEN 0 ELSE n END AS chars, CAST(1 AS BIGINT) AS page, CASE WHEN n >= {n} THEN 2 ELSE 1 END AS next FROM p WHERE line_no = 0
+UNION ALL SELECT p.doc_id, p.line_no, CASE WHEN f.chars + p.n >= {n} THEN 0 ELSE f.chars + p.n END, f.next, CASE WHEN f.chars + p.n >= {n} THEN f.next + 1 ELSE f.next END FROM f JOIN p ON p.doc_id = f.doc_id AND p.line_no = f.line_no + 1)
+SELECT doc_id, line_no AS par_no, page FROM f"""
+
+
+@query(_estimated("2200"))
+def paginate_estimated(spark, d):
+    return ln.estimated_pages(doc_lines(spark, d).withColumnRenamed("line_no", "par_no")).withColumn("page", F.col("page").cast("long"))
+
+
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all forms of heading, and of none, from customers and orders."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    form = F.element_at(F.array(
+        F.concat(F.lit("PHẦN "), k % 20, F.lit(": "), F.upper(n)), F.concat(F.lit("Điều "), k, F.lit(". "), n), F.concat(k % 9 + 1, F.lit("."), k % 7 + 1, F.lit(". "), n), F.concat(k % 50, F.lit(".")),
+        F.concat(F.lit("iv) "), n), F.concat(F.lit("II. "), n), F.concat(F.lit("b) "), n), n, F.concat(F.lit("PL"), k, F.lit(".A(1): "), n), F.concat(F.lit("theo Điều "), k), F.concat(F.lit("Phụ lục "), k % 10), F.concat(F.lit("(i) "), n, F.lit(": x")),
+    ), (k % 12 + 1).cast("int"))
+    return _table(spark, d, "customer").select(k.alias("id"), form.alias("text"), (k % 3 == 0).alias("bold"), F.lit("para").alias("kind"), F.lit(False).alias("is_table"))
+
+
+_K, _N = "c_custkey", "c_name"
+FORMS = f"""hl AS (SELECT {_K} AS id, {_K} % 3 = 0 AS bold, [
+ 'PHẦN ' || {_K} % 20 || ': ' || upper({_N}), 'Điều ' || {_K} || '. ' || {_N}, ({_K} % 9 + 1) || '.' || ({_K} % 7 + 1) || '. ' || {_N}, ({_K} % 50) || '.',
+ 'iv) ' || {_N}, 'II. ' || {_N}, 'b) ' || {_N}, {_N}, 'PL' || {_K} || '.A(1): ' || {_N}, 'theo Điều ' || {_K}, 'Phụ lục ' || {_K} % 10, '(i) ' || {_N} || ': x'][{_K} % 12 + 1] AS text FROM customer)"""
+
+
+def _match_sql() -> str:
+    g = lambda p, n: f"regexp_extract(text, {s.q(p)}, {n})"
+    has = lambda p: f"regexp_matches(text, {s.q(p)})"
+    edge = lambda x: f"trim({x}, {s.q(hd.EDGE)})"
+    row = lambda num, title, rank, kind: f"{{'number': {num}, 'title': {edge(title)}, 'rank': {rank}, 'kind': {kind}}}"
+    cases = []
+    for p, rank, kind in hd.KEYWORDS:
+        num = f"{g(p, 1)} || {g(p, 2)}" if p.startswith("^(PL)") else f"trim({g(p, 1)} || ' ' || {g(p, 2)})"
+        cases.append((has(p), row(num, g(p, 3), rank, s.q(kind))))
+    for p, title in ((hd.NUMBERED, g(hd.NUMBERED, 2)), (hd.NUMBER_ONLY, "''")):
+        cases.append((has(p), row(g(p, 1), title, f"10 + length({g(p, 1)}) - length(replace({g(p, 1)}, '.', ''))", "'decimal'")))
+    mark, token = g(hd.ROMAN_MARK, 1), f"trim({g(hd.ROMAN_MARK, 1)}, '().')"
+    high, deep = f"(upper({token}) = {token} AND regexp_matches({token}, {s.q(hd.UPPER_ROMAN)}))", f"(length({token}) > 1 OR starts_with({mark}, '('))"
+    cases.append((has(hd.ROMAN_MARK), row(mark, g(hd.ROMAN_MARK, 2), f"CASE WHEN {high} THEN 3 WHEN {deep} THEN 50 ELSE 30 END", f"CASE WHEN {high} THEN 'roman-upper' WHEN {deep} THEN 'roman' ELSE 'letter' END")))
+    cases.append((has(hd.LETTER_MARK), row(g(hd.LETTER_MARK, 1), g(hd.LETTER_MARK, 2), f"CASE WHEN regexp_matches({g(hd.LETTER_MARK, 1)}, '^[A-Z]') THEN 25 ELSE 30 END", "'letter'")))
+    return "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in cases) + " END"
+
+
+@query(f"WITH {FORMS}, m AS (SELECT id, {_match_sql()} AS h FROM hl) SELECT id, h.number AS number, h.title AS title, CAST(h.rank AS INTEGER) AS rank, h.kind AS kind FROM m")
+def match_heading(spark, d):
+    return heading_lines(spark, d).select("id", hd.match_heading(F.col("text")).alias("h")).select("id", "h.number", "h.title", "h.rank", "h.kind")
+
+
+@query(rf"""WITH {FORMS}, m AS (SELECT id, text, bold, {_match_sql()} AS h FROM hl), t AS (SELECT id, text, bold, h.title AS title, h.kind AS kind FROM m WHERE h IS NOT NULL),
+u AS (SELECT *, length(regexp_replace(title, '[^\p{{L}}]', '', 'g')) AS ls, length(regexp_replace(title, '[^\p{{Lu}}]', '', 'g')) AS us FROM t)
+SELECT id, NOT regexp_matches(text, '(?i)^({hd.REFERENCE})(\s|$)') AND NOT (kind IN ('part', 'chapter', 'article', 'section', 'roman-upper') AND (title = '' OR regexp_matches(title, '^[“"''(]*\p{{Ll}}') OR (NOT bold AND NOT (ls > 0 AND us / ls >= 0.8))))
+ AND NOT (length(text) > 250 OR (kind IN ('letter', 'roman') AND NOT bold) OR (kind = 'decimal' AND NOT bold AND (length(text) > 160 OR regexp_matches(title, '^\p{{Ll}}')))) AS ok FROM u""")
+def looks_like_heading(spark, d):
+    h = heading_lines(spark, d).withColumn("h", hd.match_heading(F.col("text"))).filter("h IS NOT NULL")
+    return h.select("id", hd.looks_like_heading(F.col("text"), F.col("h.title"), F.col("h.kind"), F.col("bold")).alias("ok"))
+
+
+def outline_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Each order is a document, each line of it a heading of some level."""
+    li = _table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), (F.col("l_partkey") % 5 + 1).cast("long").alias("level"), F.concat(F.lit("P"), F.col("l_partkey")).alias("name"), (F.floor(F.col("l_linenumber") / 2) + 1).cast("long").alias("page")).dropDuplicates(["doc_id", "ord"])
+
+
+HEADS = "h AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS ord, CAST(l_partkey % 5 + 1 AS BIGINT) AS level, 'P' || l_partkey AS name, CAST(l_linenumber // 2 + 1 AS BIGINT) AS page FROM lineitem)"
+ANCESTORS = "up AS (SELECT a.doc_id, a.ord, a.level, a.name, b.ord AS up FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.ord < a.ord AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.ord > b.ord AND c.ord < a.ord AND c.level <= b.level)), dp AS (SELECT doc_id, ord, level, name, count(up) AS n FROM up GROUP BY ALL)"
+
+
+@query(f"WITH {HEADS}, {ANCESTORS} SELECT doc_id, ord, n + 1 AS depth, n >= 3 AS demoted FROM dp")
+def demoted_headings(spark, d):
+    return ol.open_ancestors(outline_headings(spark, d)).select("doc_id", "ord", "depth", "demoted")
+
+
+@query(f"""WITH {HEADS}, {ANCESTORS} SELECT dp.doc_id, dp.ord, n + 1 AS depth, CASE WHEN n = 0 THEN dp.name ELSE string_agg(b.name, ' > ' ORDER BY b.ord) || ' > ' || dp.name END AS path
+FROM dp JOIN up USING (doc_id, ord) LEFT JOIN h b ON b.doc_id = up.doc_id AND b.ord = up.up WHERE n < 3 GROUP BY dp.doc_id, dp.ord, n, dp.name""")
+def outline_paths(spark, d):
+    return ol.paths(outline_headings(spark, d)).select("doc_id", "ord", "depth", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""WITH {HEADS} SELECT a.doc_id, a.ord, a.page AS page_start, greatest(a.page, coalesce(max(b.page), a.page)) AS page_end FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.ord > a.ord
+AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.ord > a.ord AND c.ord <= b.ord AND c.level <= a.level) GROUP BY a.doc_id, a.ord, a.page""")
+def section_page_ranges(spark, d):
+    h = outline_headings(spark, d)
+    return ol.page_ranges(h, h.select("doc_id", "ord", "page"))
+
+
+@query(f"WITH {HEADS} SELECT doc_id, ord, dense_rank() OVER (PARTITION BY doc_id ORDER BY level) AS heading_level FROM h")
+def heading_levels(spark, d):
+    from pyspark.sql import Window as W
+
+    return outline_headings(spark, d).select("doc_id", "ord", F.dense_rank().over(W.partitionBy("doc_id").orderBy("level")).cast("long").alias("heading_level"))
+
+
+@query(f"WITH {HEADS} SELECT doc_id, ord, max(CASE WHEN level <= 2 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS section FROM h")
+def outline_sections(spark, d):
+    return ol.attach(outline_headings(spark, d).withColumn("is_heading", F.col("level") <= 2)).select("doc_id", "ord", "section")
+
+
+@query(f"WITH {HEADS} SELECT doc_id, string_agg(repeat('   ', level) || 'L' || level || ' ' || ord || '. ' || name, chr(10) ORDER BY ord) AS outline FROM h GROUP BY doc_id")
+def outline_text(spark, d):
+    return rt.outline_text(outline_headings(spark, d).select("doc_id", F.col("ord").alias("section_no"), F.col("level").cast("int").alias("level"), F.concat(F.col("ord"), F.lit(".")).alias("number"), F.col("name").alias("title")))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), F.when(F.col("turn") % 5 < 3, "a").otherwise("b").alias("section_path"), F.coalesce("text", F.lit("")).alias("raw_text"))
+
+
+TURNS = "tn AS (SELECT conv_id AS doc_id, turn AS idx, conv_id || '#' || turn AS chunk_id, CASE WHEN turn % 5 < 3 THEN 'a' ELSE 'b' END AS section_path, coalesce(text, '') AS raw_text FROM conversations)"
+
+
+@query(f"""WITH {TURNS}, o AS (SELECT *, CASE WHEN lag(section_path) OVER w = section_path THEN 0 ELSE 1 END AS opens FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY idx) AS pos, count(*) OVER (PARTITION BY doc_id, run) AS n FROM r),
+b AS (SELECT *, least(pos - 1, 5) AS back, least(n - pos, 5 - least(pos - 1, 5)) AS fwd FROM p)
+SELECT b.doc_id, b.idx, b.back + b.fwd + 1 AS n_parts, string_agg(x.raw_text, chr(10) ORDER BY x.idx) AS expanded FROM b JOIN p x ON x.doc_id = b.doc_id AND x.run = b.run AND x.pos BETWEEN b.pos - b.back AND b.pos + b.fwd GROUP BY b.doc_id, b.idx, b.back, b.fwd""")
+def expand_section(spark, d):
+    return rt.expand_sections(turns(spark, d)).select("doc_id", "idx", "n_parts", "expanded")
+
+
+@query(f"WITH {TURNS} SELECT doc_id, idx, array_to_string(list(chunk_id) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ',') AS near FROM tn")
+def neighbours(spark, d):
+    return rt.neighbours(turns(spark, d)).select("doc_id", "idx", F.array_join("neighbours", ",").alias("near"))
+
+
+@query(f"WITH {TURNS} SELECT chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")
+def chunk_links(spark, d):
+    return rt.link(turns(spark, d)).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+
+
+@query(f"""WITH {TURNS} SELECT chunk_id, row_number() OVER (PARTITION BY doc_id, section_path ORDER BY idx) AS part_index, count(*) OVER (PARTITION BY doc_id, section_path) AS part_total,
+coalesce(lag(section_path) OVER w = section_path, false) AS is_continuation, coalesce(lead(section_path) OVER w = section_path, false) AS is_continued FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY idx)""")
+def chunk_parts(spark, d):
+    return rt.parts(turns(spark, d)).select("chunk_id", "part_index", "part_total", "is_continuation", "is_continued")
+
+
+@query("""SELECT n_nationkey AS id, '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| x | ' || n_nationkey || ' |' AS md FROM nation""")
+def table_markdown(spark, d):
+    cell = lambda c: F.col(c).cast("string")
+    row = lambda *cs: F.array(*cs)
+    rows = F.array(row(cell("n_name"), F.lit(""), cell("n_regionkey")), row(F.lit(""), F.lit(" "), F.lit("")), row(F.lit("x"), F.lit(""), cell("n_nationkey")))
+    return _table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), tx.rows_to_markdown(rows).alias("md"))
+
+
+DIGITS = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
+_place = lambda ten, five, one, at: "[" + ", ".join(s.q(x.translate(str.maketrans("xvi", ten + five + one))) for x in DIGITS) + f"][(n // {at}) % 10 + 1]"
+ROMAN_SQL = f" || repeat('m', CAST(n // 1000 AS INTEGER)) || {_place('m', 'd', 'c', 100)} || {_place('c', 'l', 'x', 10)} || {_place('x', 'v', 'i', 1)}"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS id, p_partkey % 3000 + 1 AS n FROM part) SELECT id, ''{ROMAN_SQL} AS roman, CASE WHEN n <= 26 THEN chr(96 + n::INT) WHEN n <= 702 THEN chr(96 + ((n - 1) // 26)::INT) || chr(97 + ((n - 1) % 26)::INT) ELSE chr(96 + ((n - 27) // 676)::INT) || chr(97 + (((n - 27) // 26) % 26)::INT) || chr(97 + ((n - 1) % 26)::INT) END AS letters FROM p")
+def roman_letter_format(spark, d):
+    n = F.col("p_partkey") % 3000 + 1
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.format_counter(n, F.lit("lowerRoman")).alias("roman"), tx.format_counter(n, F.lit("lowerLetter")).alias("letters"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, l_partkey % 40 AS xref, 30.0::DOUBLE + l_quantity AS x0, 20.0::DOUBLE + l_quantity * 10 AS y0, 30.0::DOUBLE + l_quantity * 12 AS x1, 20.0::DOUBLE + l_quantity * 16 AS y1,
+ l_suppkey % 400 AS page_chars, l_suppkey % 60 AS live_chars, l_discount AS ink, l_partkey % 16000 AS colours, CASE WHEN l_linenumber % 4 = 0 THEN 'Hình 1' ELSE '' END AS caption FROM lineitem),
+n AS (SELECT doc_id, xref, count(DISTINCT page) AS n_pages FROM i GROUP BY 1, 2), a AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0) * (y1 - y0) / (595.0::DOUBLE * 842.0::DOUBLE) AS area FROM i JOIN n USING (doc_id, xref)),
+r AS (SELECT *, CASE WHEN area >= 0.85 AND page_chars >= 200 THEN 'background' WHEN area >= 0.85 THEN 'cover' WHEN n_pages >= 2 THEN 'repeated' WHEN least(w, h) < 70 OR area < 0.025 THEN 'small'
+ WHEN (y1 <= 84.2 OR y0 >= 842.0::DOUBLE * 0.90::DOUBLE) AND area < 0.12 THEN 'margin' WHEN caption = '' AND ink < 0.05 THEN 'watermark' WHEN caption = '' AND live_chars >= 40 THEN 'frame' WHEN caption = '' AND page_chars >= 200 AND colours >= 8000 THEN 'photo' ELSE 'figure' END AS reason FROM a)
+SELECT doc_id, page, xref, reason, CASE WHEN reason = 'figure' THEN 'figure' WHEN reason = 'cover' THEN 'cover' ELSE 'logo' END AS kind FROM r""")
+def figure_ladder(spark, d):
+    q = F.col("l_quantity")
+    i = _table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), (F.col("l_partkey") % 40).alias("xref"), (30.0 + q).alias("x0"), (20.0 + q * 10).alias("y0"), (30.0 + q * 12).alias("x1"), (20.0 + q * 16).alias("y1"), F.lit(595.0).alias("page_w"), F.lit(842.0).alias("page_h"),
+        (F.col("l_suppkey") % 400).alias("page_chars"), (F.col("l_suppkey") % 60).alias("live_chars"), F.col("l_discount").alias("ink"), (F.col("l_partkey") % 16000).alias("colours"), F.when(F.col("l_linenumber") % 4 == 0, "Hình 1").otherwise("").alias("caption"),
+    )
+    return fg.classify(i).select("doc_id", "page", "xref", "reason", "kind")
+
+
+@query(rf"WITH {LINES}, c AS (SELECT doc_id, line_no, regexp_extract(text, '^(\p{{L}})\s+\p{{L}}{{2,}}', 1) AS f, text FROM lines) SELECT doc_id, count(*) FILTER (length(text) > 25 AND f <> '' AND lower(f) NOT IN ('ở', 'à', 'ừ', 'ê', 'ơ', 'y', 'a', 'ý')) AS n FROM c GROUP BY doc_id")
+def suspect_truncated(spark, d):
+    return doc_lines(spark, d).groupBy("doc_id").agg(F.count_if(tx.looks_truncated(F.col("text"))).alias("n"))
+
+
+@query(f"""WITH {LINES}, e AS (SELECT doc_id, line_no, {s.est_tokens("text")} AS t, length(text) AS n FROM lines WHERE text <> '')
+SELECT doc_id, count(*) AS n_chunks, CAST(min(n) AS BIGINT) AS min_chars, CAST(max(n) AS BIGINT) AS max_chars, median(t) AS median_tokens, max(t) AS max_tokens, count(*) FILTER (t > 64) AS too_long, count(*) FILTER (n < 30) AS too_short FROM e GROUP BY doc_id""")
+def quality_report(spark, d):
+    lines = doc_lines(spark, d).filter("text <> ''")
+    as_chunks = lines.select("doc_id", F.lit(1).alias("page"), F.length("text").alias("char_count"), tx.est_tokens(F.col("text")).alias("est_tokens"), F.col("text").alias("raw_text"), F.lit("1").alias("section_number"), F.array().alias("figures"), F.lit(False).alias("is_continued"))
+    return dc.report(as_chunks, 64).select("doc_id", "n_chunks", "min_chars", "max_chars", "median_tokens", "max_tokens", "too_long", "too_short")
+
+
+@query()
+def chunk_documents(spark, d):
+    """All documents to chunks; figures as JSON, as they are nested."""
+    blocks = dc.document_blocks(_table(spark, d, "documents"))
+    return dc.chunks(dc.detect_headings(blocks)).withColumn("figures", F.to_json("figures")).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query()
+def merge_short_sections(spark, d):
+    blocks = heading_lines(spark, d).select(F.floor(F.col("id") / 40).cast("string").alias("doc_id"), F.col("id").alias("block_no"), "text", F.lit(1).alias("page"), "kind", F.lit(True).alias("bold"), "is_table")
+    from ..functions.folds import ChunkConfig
+
+    return dc.sections(dc.detect_headings(blocks), ChunkConfig()).withColumn("path", F.array_join("path", " > "))
