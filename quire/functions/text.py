@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INVISIBLE = "​‌‍﻿­"
+INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD)))
 ONE_TO_ONE = {
     "x": "×", "/": "÷", "*": "∗", "-": "‐‑‒–—−―•▪●◦○", '"': "“”„«»″", "'": "‘’‚′",
 }
@@ -17,8 +17,8 @@ ONE_TO_MANY = {"∑": " Tổng ", "∏": " Tích ", "√": " căn ", "∞": " v
 FROM = "".join(ONE_TO_ONE.values())
 TO = "".join(k * len(v) for k, v in ONE_TO_ONE.items())
 #: Private-use codes of symbol fonts: 0xF000 plus the ASCII code; letters mean other glyphs there.
-SYMBOL_FONT = {chr(0xF000 + c): chr(c) for c in range(0x20, 0x7F) if not chr(c).isalpha()} | {"": "-", "": "-"}
-ARROWS = ""
+SYMBOL_FONT = {chr(0xF000 + c): chr(c) for c in range(0x20, 0x7F) if not chr(c).isalpha()} | {chr(0xF0B7): "-", chr(0xF0A7): "-"}
+ARROWS = chr(0xF0D8) + chr(0xF0E0)
 
 CHARS_PER_TOKEN = 2.8
 ENDS_SENTENCE = r"[.:;!?]\s*$"
