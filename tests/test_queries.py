@@ -1,5 +1,6 @@
 """Queries against DuckDB on the smallest tables, and invariants of the chunks."""
 
+import numbers
 import os
 
 import duckdb
@@ -22,7 +23,7 @@ def duck():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or pd.isna(v) else str(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or pd.isna(v) else str(float(v)) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
     return sorted(str([plain(v) for v in r]) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
