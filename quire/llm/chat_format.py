@@ -144,7 +144,7 @@ def digests(segments: DataFrame) -> DataFrame:
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 whose texts look like control strings."""
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return digests(format_segments(rows.unionByName(extra)))
 
