@@ -32,6 +32,8 @@ PATTERN = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches, tried at the start of a run of digits only: a run of n digits costs n steps instead of n squared.
+SEARCH = PATTERN | {"ip": re.compile("(?<![0-9])" + PATTERN["ip"].pattern)}
 #: What must be in a text for a kind to match at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){13}")
@@ -58,7 +60,7 @@ _RUN = re.compile(rf"\+?(?:(?:{_SPELLED.pattern}|[0-9+()])[ .,()/-]*){{7,}}", re
 #: The word behind blanks alone counts where the whole has the shape of an address; the bracketed forms count anywhere.
 _AT = r"\s*(?:[\[({<]\s*(?:at|arroba|@)\s*[\])}>]|\s(?:at|arroba)\s|\s+@\s*|\s*@\s+)\s*"
 _DOT = r"\s*(?:[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s)\s*"
-_ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 _ADDRESS_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s|\s@|@\s", re.IGNORECASE)
 _DOTTED = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 
@@ -109,7 +111,7 @@ def detect(text: str) -> list[Span]:
         if kind == "email":
             out += [("email", a, b) for a, b in _emails(text)]
         elif kind != "card" or LONG_DIGITS.search(text):
-            out += [(kind, m.start(), m.end()) for m in PATTERN[kind].finditer(text) if _holds(kind, m[0])]
+            out += [(kind, m.start(), m.end()) for m in SEARCH[kind].finditer(text) if _holds(kind, m[0])]
     return in_order(out)
 
 
