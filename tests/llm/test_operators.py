@@ -133,7 +133,7 @@ def test_language_model(spark, edge):
 def test_language_model_sums_to_one():
     r = np.random.default_rng(2)
     weights, bias = r.normal(size=(3, language_model.ROWS, language_model.CLASSES)).astype(np.float32), np.zeros(language_model.CLASSES, np.float32)
-    f = language_model.features(r.integers(0, 2**63, 50).astype(np.uint64), np.array([1, 2, 47]))
+    f = language_model.features(*language_model.contexts(r.integers(0, 2**63, 50).astype(np.uint64), np.array([1, 2, 47])))
     assert np.allclose(np.exp(language_model.class_log_probs(weights, bias, f)).sum(1), 1, atol=1e-5)
 
 
@@ -146,6 +146,12 @@ def test_pii_base_against_patterns():
         assert base == want and set(base) <= set(spans)
 
 
+def test_pii_long_runs_are_linear():
+    for text in ("1" * 300_000, "a" * 300_000 + " @ b", "1." * 100_000, "+1" * 100_000, "( " * 100_000, "@ " * 100_000):
+        base, spans = pii.find(text)
+        assert set(base) <= set(spans)
+
+
 def test_pii_disguises(spark, edge):
     for text, kind, part in [("write bob [at] mail [dot] org soon", "email", "bob [at] mail [dot] org"), ("bоb＠mail.org", "email", "bоb＠mail.org"), ("call +four nine one five one two three four five six seven", "phone", "+four nine one five one two three four five six seven")]:
         assert (kind, text.index(part), text.index(part) + len(part)) in pii.find(text)[1]
