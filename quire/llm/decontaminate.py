@@ -64,7 +64,7 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), parts_of(F.col(text_col)).alias("w"))
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     counts = split.select(F.explode("w").alias("word")).join(hint(vocabulary), "word").groupBy("word").count()
-    index = written(prefixes(windows, counts), name="prefixes")
+    index = written(prefixes(windows, hint(counts)), name="prefixes")  # counts has no more words than the vocabulary
     near = split.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
     if not small:
         low = F.greatest(F.col("pos") + 2 - WINDOW, F.lit(1))
