@@ -43,7 +43,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: st
     name = docs.columns
     rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     marked = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.length(text_col).alias("_n"), F.explode(parts).alias("l")).filter(F.trim("l") != "").select("_h", "_n", F.xxhash64(F.trim("l")).alias("line"))
-    hit = marked.join(bad, "line", "left_semi").groupBy("_h", "_n").agg(F.collect_set("line").alias("_bad"))
+    # written, so that the join below shuffles both sides itself and a text with many copies can be split
+    hit = written(marked.join(bad, "line", "left_semi").groupBy("_h", "_n").agg(F.collect_set("line").alias("_bad")), name="hits")
     joined = rows.join(hit.withColumnsRenamed({"_h": "_h2", "_n": "_n2"}), (F.col("_h") == F.col("_h2")) & (F.length(text_col) == F.col("_n2")), "left")
     stay = F.filter(parts, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x))))
     cleaned = joined.select(*[c for c in name if c != text_col], F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n")).alias(text_col), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_bad").isNull(), 0).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_removed"))
