@@ -137,6 +137,15 @@ def test_language_model_sums_to_one():
     assert np.allclose(np.exp(language_model.class_log_probs(weights, bias, f)).sum(1), 1, atol=1e-5)
 
 
+def test_language_model_tables_and_steps(spark, edge, monkeypatch):
+    passes, real = [], language_model.expected
+    monkeypatch.setattr(language_model, "expected", lambda *a: passes.append(1) or real(*a))
+    language_model.train(language_model.pack(edge))
+    assert len(passes) == 2 and language_model.ROWS == 1 << 14
+    f = language_model.features(*language_model.contexts(np.arange(1, 200_001).astype(np.uint64), np.array([200_000])))
+    assert all(len(np.unique(row)) == language_model.ROWS for row in f)
+
+
 def test_pii_base_against_patterns():
     r = random.Random(4)
     for _ in range(3000):
