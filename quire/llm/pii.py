@@ -55,14 +55,20 @@ _DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _SPELLED = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
-#: Spelled digits count in a run of several, with digits and marks between them.
+#: Spelled digits count in a run of at least seven digits and signs, one of them spelled or more, with marks between them.
 _RUN = re.compile(rf"\+?(?:(?:{_SPELLED.pattern}|[0-9+()])[ .,()/-]*){{7,}}", re.IGNORECASE)
 #: The word behind blanks alone counts where the whole has the shape of an address; the bracketed forms count anywhere.
 _AT = r"\s*(?:[\[({<]\s*(?:at|arroba|@)\s*[\])}>]|\s(?:at|arroba)\s|\s+@\s*|\s*@\s+)\s*"
 _DOT = r"\s*(?:[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s)\s*"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: Behind a bare word the host is dotted as it should be and ends in letters of one case.
+_BARE_AT = re.compile(r"\s(?:[Aa][Tt]|[Aa][Rr][Rr][Oo][Bb][Aa])\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[a-z]{2,24}|[A-Z]{2,24})(?![A-Za-z0-9-])")
 _ADDRESS_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s|\s@|@\s", re.IGNORECASE)
 _DOTTED = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_DOT_WORD = re.compile(r"[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]|(?<=\s)(?:dot|punkt|punto)(?=\s)", re.IGNORECASE)
+_PART = r"(?:[0-9](?:[ -]{1,3}[0-9]){1,2}|[0-9]{1,3})"
+#: Four parts, each in digits or in single digits with blanks between them, as spelled ones come out.
+_SPACED_IP = re.compile(rf"(?<![0-9.]){_PART}(?:[ ]{{0,3}}\.[ ]{{0,3}}{_PART}){{3}}(?![0-9])")
 
 Span = tuple[str, int, int]
 
@@ -147,32 +153,48 @@ def normalise(text: str) -> Rewriting:
     return Rewriting(text).replace(edits) if edits else Rewriting(text)
 
 
-def spelled_digits(r: Rewriting) -> list[Rewriting]:
-    """For each run of spelled digits: the run alone, in digits, with the blanks between single digits away."""
-    out = []
-    if len(_SPELLED.findall(r.text)) < 4:
-        return out
+def spelled_digits(r: Rewriting) -> list[Span]:
+    """Finds with spelled digits in them, in source characters: each run of spelled digits alone, in digits, as it is and with the
+    marks between single digits away; addresses with dots kept or spelled."""
+    words = list(_SPELLED.finditer(r.text))
+    if not words:
+        return []
+    out: list[Span] = []
+    at = 0
     for run in _RUN.finditer(r.text):
-        words = list(_SPELLED.finditer(r.text, run.start(), run.end()))
-        if len(words) < 4:
+        while at < len(words) and words[at].start() < run.start():
+            at += 1
+        first = at
+        while at < len(words) and words[at].end() <= run.end():
+            at += 1
+        if at == first:
             continue
-        edits = [(m.start(), m.end(), _DIGITS[m[0].lower()]) for m in words]
-        whole = r.replace([(0, run.start(), ""), *edits, (run.end(), len(r.text), "")] if run.start() else [*edits, (run.end(), len(r.text), "")])
+        part = Rewriting(r.text[run.start() : run.end()], r.start[run.start() : run.end()], r.end[run.start() : run.end()])
+        whole = part.replace([(m.start() - run.start(), m.end() - run.start(), _DIGITS[m[0].lower()]) for m in words[first:at]])
         gaps = [(m.start(), m.end(), "") for m in re.finditer(r"(?<=[0-9])[ ,/.()-]+(?=[0-9])", whole.text)]
-        out.append(whole.replace(gaps))
+        for digits in (whole.replace(gaps), whole):
+            out += [(k, *digits.back(a, b)) for k, a, b in detect(digits.text) if k != "ip"]
+    dots = [(m.start(), m.end(), ".") for m in _DOT_WORD.finditer(r.text)]
+    if len(dots) + r.text.count(".") >= 3:
+        plain = r.replace(sorted([*dots, *((m.start(), m.end(), _DIGITS[m[0].lower()]) for m in words)]))
+        for m in _SPACED_IP.finditer(plain.text):
+            # a digit is spelled where it stands for several source characters
+            spelled = any(plain.text[k] != "." and plain.end[k] - plain.start[k] > 1 for k in range(m.start(), m.end()))
+            if spelled and all(int(re.sub("[ -]", "", x)) <= 255 for x in m[0].split(".")):
+                out.append(("ip", *plain.back(m.start(), m.end())))
     return out
 
 
 def disguised(r: Rewriting) -> list[Span]:
     """Addresses with at and dot spelled or bracketed, and dotted numbers with spelled dots, in r's characters."""
-    if not _ADDRESS_HINT.search(r.text):
+    if not _ADDRESS_HINT.search(r.text) and not _BARE_AT.search(r.text):
         return []
     out: list[Span] = []
     for m in _ADDRESS.finditer(r.text):
         plain = re.sub(_DOT, ".", re.sub(_AT, "@", m[0], count=1, flags=re.I), flags=re.I)
         if PATTERN["email"].fullmatch(plain):
-            # a bare word between blanks is a disguise only in the company of a spelled or bracketed dot
-            if re.search(r"[\[({<]|\sdot\s|\spunkt\s|\spunto\s|@", m[0], re.I):
+            # a bare word between blanks is a disguise in the company of a spelled or bracketed dot, or before a dotted host
+            if re.search(r"[\[({<]|\sdot\s|\spunkt\s|\spunto\s|@", m[0], re.I) or _BARE_AT.search(m[0]):
                 out.append(("email", m.start(), m.end()))
     out += [("ip", m.start(), m.end()) for m in _DOTTED.finditer(r.text) if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0]))]
     return out
@@ -187,8 +209,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if r.text is not text and r.text != text:
         more += [(k, *r.back(a, b)) for k, a, b in detect(r.text)]
     more += [(k, *r.back(a, b)) for k, a, b in disguised(r)]
-    for digits in spelled_digits(r):
-        more += [(k, *digits.back(a, b)) for k, a, b in detect(digits.text)]
+    more += spelled_digits(r)
     taken = list(base)
     for k, a, b in in_order(more):
         if not any(k == t[0] and a < t[2] and t[1] < b for t in taken):

@@ -169,6 +169,22 @@ def test_pii_disguises(spark, edge):
     assert re.fullmatch("[0-9a-f]{64}", pii.personal_data(edge).first()["base_sha256"])
 
 
+def test_pii_few_spelled_digits_and_bare_at():
+    for text, kind, part in [
+        ("call +49 151 two three four 5678901 now", "phone", "+49 151 two three four 5678901"),
+        ("card 4111 1111 1111 11 one 1, 2020", "card", "4111 1111 1111 11 one 1"),
+        ("ask bob at mail.org today", "email", "bob at mail.org"),
+        ("host 192.168.one.20 is up", "ip", "192.168.one.20"),
+        ("host one nine two dot one six eight dot zero dot 1 is up", "ip", "one nine two dot one six eight dot zero dot 1"),
+    ]:
+        assert (kind, text.index(part), text.index(part) + len(part)) in pii.find(text)[1], text
+    for text in ("we met at noon.Then we left", "one of 3 or two.", "version one.2.3 of 4", "at 10.five.1.999"):
+        assert not pii.find(text)[1], text
+    for text in ("one " * 60_000, "one . " * 60_000, "a at " * 60_000, "one" + " " * 200_000, "one (" + "( " * 60_000):
+        base, spans = pii.find(text)
+        assert set(base) <= set(spans)
+
+
 def test_line_dedup(spark, edge):
     rows = [(k, f"own {k}\nshared\n\nrare {k % 2}", f"s{k % 7}") for k in range(70)] + [(70, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
