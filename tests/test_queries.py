@@ -35,6 +35,13 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_ghost_spaces_whole_texts(spark, tmp_path):
+    texts = ["word " * 30 + "end", "a\tb \r\n c\fd" + "  x" * 40, "é😀 " * 50, "short", "", " \n ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["line_id"]: r["text"] for r in QUERIES["ghost_space_rebuild"](spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(t.split()) for k, t in enumerate(texts) if t is not None}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_chunk_invariants(spark):
     c = entry.entry(spark).toPandas()
