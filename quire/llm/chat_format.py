@@ -70,8 +70,9 @@ def format_segments(turns: DataFrame, conv="conv_id", turn="turn", role="role",
 def examples(segments: DataFrame) -> DataFrame:
     """One row for each assistant turn: its context is the first `context_chars` characters of the conversation's
     formatted text, which end with the header of the reply; the loss is on [loss_start, loss_end)."""
-    return segments.select("conv_id", "base", F.explode("turns").alias("t")).filter("t.trained").select(
+    return segments.select("conv_id", "segment", "base", F.explode("turns").alias("t")).filter("t.trained").select(
         "conv_id",
+        "segment",
         (F.col("base") + F.col("t.start") + F.col("t.head")).alias("context_chars"),
         (F.col("base") + F.col("t.start") + F.col("t.head")).alias("loss_start"),
         (F.col("base") + F.col("t.start") + F.col("t.head") + F.col("t.body")).alias("loss_end"),
@@ -97,8 +98,8 @@ def example_texts(segments: DataFrame) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Parses the formatted segments: (conv_id, segment, n_turns, said, loss), said being role, newline, text, newline of
-    each turn and loss the text under the loss mask."""
+    """Parses the formatted segments: (conv_id, segment, n_turns, formatted_chars, said), said being role, newline, text,
+    newline of each turn."""
     parts = F.split("formatted", r"<\|end\|>", -1)
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
@@ -108,36 +109,42 @@ def read_back(segments: DataFrame) -> DataFrame:
         text = F.substr(p, F.length(head) + F.lit(len(TEXT) + 1))
         return F.concat(unescape(role), F.lit("\n"), unescape(text), F.lit("\n"))
 
-    def loss_of(t: Column) -> Column:
-        return unescape(F.substr(F.col("formatted"), (t["start"] + t["head"] + 1).cast("int"), t["body"].cast("int")))
-
     return segments.select(
         "conv_id",
         "segment",
         F.size(parts).cast("long").alias("n_turns"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         F.array_join(F.transform(parts, turn_of), "").alias("said"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["trained"]), loss_of), "").alias("loss"),
-        F.size(F.filter("turns", lambda t: t["trained"])).cast("long").alias("n_examples"),
     )
 
 
+def losses(segments: DataFrame) -> DataFrame:
+    """(of, n_examples, loss): the number of examples of each conversation and the text under their loss spans."""
+    held = segments.select(F.col("conv_id").alias("of"), F.col("segment").alias("_s"), "base", "formatted")
+    found = examples(segments)
+    same = found["conv_id"].eqNullSafe(held["of"]) & found["segment"].eqNullSafe(held["_s"])
+    target = F.substr("formatted", (F.col("loss_start") - F.col("base") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    rows = found.join(held, same).select("of", F.struct("loss_start", unescape(target).alias("target")).alias("e"))
+    return rows.groupBy("of").agg(F.count("*").alias("n_examples"), F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["target"]), "").alias("loss"))
+
+
 def digests(segments: DataFrame) -> DataFrame:
-    """One row for each conversation: counts and hashes of what is read back from its segments."""
-    joined = lambda field: F.array_join(F.transform("s", lambda s: s[field]), "")
-    return (
+    """One row for each conversation: counts and hashes of what is read back from its segments and from its examples."""
+    said = (
         read_back(segments)
         .groupBy("conv_id")
-        .agg(F.sum("n_turns").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"), F.sum("n_examples").alias("n_examples"), F.sort_array(F.collect_list(F.struct("segment", "said", "loss"))).alias("s"))
-        .select(
-            "conv_id",
-            "n_turns",
-            F.sha2(joined("said"), 256).alias("turns_sha256"),
-            F.length(joined("loss")).cast("long").alias("loss_chars"),
-            F.sha2(joined("loss"), 256).alias("loss_sha256"),
-            "formatted_chars",
-            "n_examples",
-        )
+        .agg(F.sum("n_turns").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("segment", "said"))).alias("s"))
+    )
+    loss = losses(segments)
+    text = F.coalesce("loss", F.lit(""))
+    return said.join(loss, said["conv_id"].eqNullSafe(loss["of"]), "left").select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(F.transform("s", lambda s: s["said"]), ""), 256).alias("turns_sha256"),
+        F.length(text).cast("long").alias("loss_chars"),
+        F.sha2(text, 256).alias("loss_sha256"),
+        "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
     )
 
 

@@ -34,6 +34,17 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_digests_come_from_examples(spark, monkeypatch):
+    rows = [(1, k, ["user", "assistant"][k % 2], f"t{k}") for k in range(140)] + [(None, None, "assistant", "x"), (2, 0, "user", "only")]
+    seg = chat_format.format_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    real = chat_format.examples
+    monkeypatch.setattr(chat_format, "examples", lambda s: real(s).filter("loss_start > 100"))
+    want = [t for c, k, r, t in rows if c == 1 and r == "assistant" and sum(len(f"<|turn|>{q}<|text|>{u}<|end|>") for d, j, q, u in rows if d == 1 and j < k) + len("<|turn|>assistant<|text|>") > 100]
+    got = {r["conv_id"]: r for r in chat_format.digests(seg).collect()}
+    assert 0 < len(want) < 70 and got[1]["n_examples"] == len(want) and got[1]["loss_sha256"] == hashlib.sha256("".join(want).encode()).hexdigest()
+    assert got[None]["n_examples"] == 0 and got[2]["loss_chars"] == 0
+
+
 def _components(sets, percent):
     at = {i: i for i, _ in sets}
     find = lambda i: i if at[i] == i else find(at[i])
