@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source mixing", mix_sources),
     ("sharding", shard_documents),
 ]
-#: Language ID can't be expressed in SQL; tests hold the stages against brute force.
+#: Language ID can't be expressed in SQL; a test holds run() against plain Python, given the told languages and the copies of the mix.
 ORACLE_SQL = None
 
 

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline as cp
 
 DATA = "/root/testdata/sf0.001"
@@ -19,3 +21,56 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         at = stage(spark, at, DATA)
     assert at.count() == 0
+
+
+def brute_force(rows, benchmark, told, copies):
+    """The pipeline in plain Python, given the told languages and the copies of the mix: the rows before sharding."""
+    blank = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    kept = [{**r, "lang": told[r["doc_id"]]} for r in rows if told[r["doc_id"]] != "und"]
+    sets = {}
+    for r in kept:
+        w = blank(r["text"])
+        sets[r["doc_id"]] = {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    ids = sorted(sets)
+    for k, j in enumerate(ids):
+        for i in ids[:k]:
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    kept = [r for r in kept if find(r["doc_id"]) == r["doc_id"]]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = set()
+    for t in benchmark:
+        w = words(t)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def hit(t):
+        w = words(t)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    clean = [r for r in kept if not hit(r["text"])]
+    return len(sets), len(kept), clean, [r for r in clean for _ in range(copies.get(r["doc_id"], 0))]
+
+
+def test_run_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    told = {r["doc_id"]: r["lang_pred"] for r in cp.language_id.identify(docs, cp.language_id.fit(docs)).collect()}
+    benchmark = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    n_told, n_near, clean, _ = brute_force(rows, benchmark, told, {})
+    mixed = {r["doc_id"]: r for r in cp.mixing.mix(spark.createDataFrame(clean, docs.schema)).collect()}
+    assert sorted(mixed) == sorted(r["doc_id"] for r in clean) and len(clean) < n_near < n_told
+    for r in clean:
+        assert mixed[r["doc_id"]]["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    want = brute_force(rows, benchmark, told, {i: r["copies"] for i, r in mixed.items()})[3]
+    got = cp.run(spark, DATA).collect()
+    assert sorted(str([r[c] for c in docs.columns]) for r in got) == sorted(str([r[c] for c in docs.columns]) for r in want)
+    by: dict = {}
+    for r in got:
+        assert r["n_bytes"] == len((r["text"] or "").encode())
+        by.setdefault(r["shard"], []).append(r)
+    assert all(sum(r["n_bytes"] for r in rs) == rs[0]["shard_bytes"] and len(rs) == rs[0]["shard_docs"] for rs in by.values())
