@@ -183,7 +183,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     star = members.select("rep", F.explode(F.array("lo", "hi")).alias("end")).filter("rep <> end").select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi"), words), name="sets")
-    links = written(verified(star, sets, percent), name="links")
+    # rows that repeat a doc_id with different texts tie the classes of these together
+    own = usable.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
+    tied = own.join(several, "doc_id").filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+    links = written(verified(star, sets, percent).union(tied), name="links")
     found = connected_components(links)
 
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("comp"))

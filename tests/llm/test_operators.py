@@ -110,6 +110,13 @@ def test_mixing(spark, edge):
     assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_repeated_ids_tie_their_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (4, c), (6, c), (6, d), (7, d), (8, b), (9, "alone and unlike all the others here")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["component_id"], x["kept"]) for x in got} == {(3, 3, True), (5, 3, False), (8, 3, False), (4, 4, True), (6, 4, False), (7, 4, False), (9, 9, True)} and len(got) == len(rows)
+
+
 def test_sharding(spark, edge):
     rows = [(k, "x" * (5 + k % 40)) for k in range(2000)] + [(9999, "y" * 5000)] + [(7777, "z" * 90)] * 40
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
