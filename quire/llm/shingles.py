@@ -36,7 +36,7 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
-def _piece_words(data: bytes) -> np.ndarray:
+def _piece_words(data: bytes, ending_bits: int = 0) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     blank = np.ones(len(b) + 2, bool)
     blank[1:-1] = _BLANK[b]
@@ -46,20 +46,25 @@ def _piece_words(data: bytes) -> np.ndarray:
         return np.empty(0, U)
     total = np.zeros(len(b) + 1, U)
     np.cumsum((b.astype(U) + U(1)) * _power("up", _P, len(b)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", _INVERSE, len(b))[starts] + (ends - starts).astype(U))
+    h = mix((total[ends] - total[starts]) * _power("down", _INVERSE, len(b))[starts] + (ends - starts).astype(U))
+    if not ending_bits:
+        return h
+    before = np.where(ends - starts > 1, b[ends - 2], 0).astype(U)
+    return (mix((before << U(8)) + b[ends - 1]) >> U(64 - ending_bits) << U(64 - ending_bits)) | (h >> U(ending_bits))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word between ASCII blanks, A-Z in lower case, of the whole text."""
+def word_hashes(text: str | None, ending_bits: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII blanks, A-Z in lower case, of the whole text. The first `ending_bits` bits of it
+    are a hash of the word's last two bytes."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     if len(data) <= PIECE:
-        return _piece_words(data)
+        return _piece_words(data, ending_bits)
     out, at = [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
         while end < len(data) and not _BLANK[data[end]]:
             end += 1
-        out.append(_piece_words(data[at:end]))
+        out.append(_piece_words(data[at:end], ending_bits))
         at = end
     return np.concatenate(out)
 

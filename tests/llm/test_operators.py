@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, language_id, language_model, line_dedup, mixing, near_dedup, pii, sharding, vector_search
+from quire.llm import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, sharding, vector_search
 
 DOCS = "doc_id long, text string, lang string, source string, label string, h string"
 EDGE = [(1, None, None, None, "x", "y"), (2, "", "en", "a", None, None), (3, " \n\t ", "en", "a", None, None), (4, "one", "en", None, None, None), (4, "one", "en", None, None, None), (None, "null id here with words", "en", "b", None, None), (5, "word " * 30000, "en", "b", None, None)]
@@ -142,67 +142,6 @@ def test_language_id(spark, edge):
     assert all(x["lang_pred"] == "und" for x in language_id.identify(edge, language_id.fit(edge.limit(0))).collect())
 
 
-def test_language_model(spark, edge):
-    got = language_model.score(edge).collect()
-    assert len(got) == len(EDGE) and all(np.isfinite(x["score"]) and x["score"] < 0 for x in got)
-    assert {x["doc_id"]: x["n_tokens"] for x in got}[5] == 30001 and language_model.score(edge.limit(0)).count() == 0
-
-
-def test_language_model_sums_to_one():
-    r = np.random.default_rng(2)
-    weights, bias = r.normal(size=(3, language_model.ROWS, language_model.CLASSES)).astype(np.float32), np.zeros(language_model.CLASSES, np.float32)
-    f = language_model.features(*language_model.contexts(r.integers(0, 2**63, 50).astype(np.uint64), np.array([1, 2, 47])))
-    assert np.allclose(np.exp(language_model.class_log_probs(weights, bias, f)).sum(1), 1, atol=1e-5)
-
-
-def test_language_model_tables_and_steps(spark, edge, monkeypatch):
-    passes, real = [], language_model.expected
-    monkeypatch.setattr(language_model, "expected", lambda *a: passes.append(1) or real(*a))
-    language_model.train(language_model.pack(edge))
-    assert len(passes) == 2 and language_model.ROWS == 1 << 14
-    f = language_model.features(*language_model.contexts(np.arange(1, 200_001).astype(np.uint64), np.array([200_000])))
-    assert all(len(np.unique(row)) == language_model.ROWS for row in f)
-
-
-def test_language_model_grows_and_matches_dense_training(spark):
-    r = np.random.default_rng(5)
-    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, 60)) for _ in range(600)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    packed = language_model.pack(docs).cache()
-    n = lambda frame: language_model.observed(language_model.pack(frame)).select("h").distinct().count()
-    assert n(docs) > 1.5 * n(docs.filter("doc_id < 300")) and n(docs) > 3 * language_model.ROWS // 2
-    model, bias = language_model.train(packed, 1)
-    got = {(x["h"], x["k"]): x for x in model.collect()}
-    # plain Python: the first step, and one pass of expected counts
-    seen, tokens_of = {}, []
-    for row in packed.collect():
-        tokens = np.array(row["uniq"]).view(np.uint64)[np.frombuffer(row["stream"], np.int32)]
-        lens = np.array(row["lens"])
-        mine = ~np.repeat(np.array(row["held"]), lens)
-        f = language_model.feature_hashes(*language_model.contexts(tokens, lens))[:, mine].view(np.int64)
-        for hs, k in zip(f.T.tolist(), language_model.class_of(tokens[mine]).tolist()):
-            tokens_of.append(hs)
-            for h in hs:
-                seen.setdefault(h, {})[k] = seen.get(h, {}).get(k, 0) + 1
-    share = np.exp(bias.astype(np.float64))
-    prior = language_model.PRIOR * share
-    dense, exp = {}, {h: np.zeros(32) for h in seen}
-    for h, ks in seen.items():
-        c = np.array([ks.get(k, 0) for k in range(32)])
-        dense[h] = np.log((c + prior) / (c.sum() * share + prior)) / 3
-    for hs in tokens_of:
-        z = np.log(share) + sum(dense[h] for h in hs)
-        for h in hs:
-            exp[h] += np.exp(z) / np.exp(z).sum()
-    assert len(got) == sum(len(ks) + 1 for ks in seen.values())
-    for h, ks in list(seen.items())[:2000]:
-        for k, c in ks.items():
-            assert abs(got[h, k]["w"] - (dense[h][k] + np.log((c + prior[k]) / (exp[h][k] + prior[k])) / 3)) < 1e-3
-        no = [k for k in range(32) if k not in ks]
-        if no:
-            assert abs(got[h, 32]["w"] - (dense[h][no[0]] + np.log(prior[no].sum() / (exp[h][no].sum() + prior[no].sum())) / 3)) < 1e-3
-
-
 def test_pii_base_against_patterns():
     r = random.Random(4)
     for _ in range(3000):
