@@ -194,9 +194,11 @@ def test_vector_search(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(600, 16)).astype(np.float32)
     x[100:400] = x[100]
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(600, None), (620, []), (640, [0.0] * 16), (660, [float("nan")] * 16), (680, [1.0])]
+    rows = [(k, v.tolist(), k) for k, v in enumerate(x)] + [(600, None, 0), (620, [], 0), (640, [0.0] * 16, 0), (660, [float("nan")] * 16, 0), (680, [1.0], 0), (None, [1.0] * 16, 0), (700, [None] + [1.0] * 15, 0)]
+    rows += rows[:50]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long")
     got: dict = {}
-    for y in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+    for y in vector_search.search(docs).collect():
         got.setdefault(y["query_id"], []).append((y["rank"], y["vec_id"], y["score"]))
     hit = 0
     for q in range(0, 600, 20):
@@ -205,3 +207,23 @@ def test_vector_search(spark):
         mine = [k for _, k, _ in sorted(got[q])]
         hit += len(set(best) & set(mine))
     assert hit >= 0.9 * 30 * 20 and set(got) == set(range(0, 600, 20))
+    assert vector_search.search(docs.limit(0)).count() == 0
+
+
+def test_vector_search_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), *[(7, [1.0, k / 50]) for k in range(40)], *[(k, [0.5, 0.5]) for k in range(100, 130)]]
+    got = [(x["rank"], x["vec_id"], x["score"]) for x in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 20").orderBy("rank").collect()]
+    want = sorted({(-s, i) for i, v in rows for s in v if i != 20})[:20]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_vector_codes_prune_and_keep_recall():
+    v = np.random.default_rng(3).normal(size=(4096, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q_ids = np.arange(0, 4096, 20)
+    q, i, s, ranked = vector_search.nearest(q_ids, v[q_ids], v, np.arange(4097), np.arange(4096), vector_search.encode(v), 20)
+    exact = v[q_ids] @ v.T
+    exact[np.arange(len(q_ids)), q_ids] = -9
+    best = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(best, i, strict=True)]) > 0.99
+    assert ranked < 0.1 * exact.size
