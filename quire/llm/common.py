@@ -19,14 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir. Where the session names none: a temporary folder in local mode, else the warehouse,
+    which a cluster shares."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quire-scratch"
     if not named:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-            found = spark.sparkContext.getCheckpointDir()
-        named = found
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 

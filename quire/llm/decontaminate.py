@@ -5,7 +5,8 @@ over all documents. Containment of a window asks for every one of its words, so
 alone: only document words that are some window's prefix are joined. The position of that word in its window bounds where
 the window would begin (positional filter) and whether it fits into the document (length filter); what is left is verified
 word by word. The join's build side is the distinct windows of the benchmark; it is broadcast where their counted number
-is at most `BROADCAST_WINDOWS` and shuffled otherwise, with only a window's surroundings of each document word.
+is at most `BROADCAST_WINDOWS` and their counted bytes `BROADCAST_BYTES`. Otherwise it is shuffled: document words whose hash is none of a
+prefix word go first, by a set of `FILTER` numbers at most, the others are shuffled with only a window's surroundings.
 
 Defined results: null text has no words; an item without words has no window; a null item_id counts as the empty string;
 repeated items and windows count once; rows that repeat a doc_id are judged by their own text; other columns play no part;
@@ -21,7 +22,8 @@ from .common import lower_ascii, table, written
 
 WINDOW = 10
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 200_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
+FILTER = 1 << 20
 
 
 def parts_of(text: Column) -> Column:
@@ -59,14 +61,20 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     """(documents, occurrences): (doc_id, h, n_words) of every row, h naming its text, and (doc_id, h, start, stop, items)
     of every occurrence of a window, in words from 1, stop exclusive."""
     windows = written(item_windows(items), name="windows")
-    small = windows.count() <= BROADCAST_WINDOWS
+    size = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " "))).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_WINDOWS and (size["bytes"] or 0) <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda df: df
-    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), parts_of(F.col(text_col)).alias("w"))
+    parts = parts_of(F.col(text_col))
+    # every text is split once; the later passes read the words
+    split = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.explode(F.array(parts)).alias("w")).withColumn("n_words", count_parts(F.col("w"))), name="words")
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     counts = split.select(F.explode("w").alias("word")).join(hint(vocabulary), "word").groupBy("word").count()
     index = written(prefixes(windows, hint(counts)), name="prefixes")  # counts has no more words than the vocabulary
     near = split.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
     if not small:
+        # words that are no prefix go before anything is shuffled; there are FILTER keys at most
+        keys = index.select(F.pmod(F.xxhash64("word"), F.lit(FILTER)).alias("bucket")).distinct()
+        near = near.join(F.broadcast(keys), F.pmod(F.xxhash64("word"), F.lit(FILTER)) == F.col("bucket"), "left_semi")
         low = F.greatest(F.col("pos") + 2 - WINDOW, F.lit(1))
         near = near.select("doc_id", "h", "pos", "word", F.slice("w", low, 2 * WINDOW - 1).alias("around"), low.alias("low"))
         part = lambda start, n: F.slice("around", start - F.col("low") + 1, n)
@@ -77,7 +85,7 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     start = F.col("pos") + 1 - F.col("at")
     found = near.join(hint(index), "word").filter(fits(start))
     found = found.filter(F.when(start >= 1, part(start, F.col("n"))) == F.col("window"))
-    return split.select("doc_id", "h", count_parts(F.col("w")).alias("n_words")), found.select("doc_id", "h", start.alias("start"), (start + F.col("n")).alias("stop"), "items")
+    return split.select("doc_id", "h", "n_words"), found.select("doc_id", "h", start.alias("start"), (start + F.col("n")).alias("stop"), "items")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -6,11 +6,12 @@ common set over the geometric mean of both sizes (presence, not counts). n-grams
 each language against the rest is solved in closed form. Scoring multiplies the presence rows of a batch of texts with the
 landmarks' matrix, folded with the solved weights, in one matrix product.
 
-The fit uses `PER_LANGUAGE` labelled texts of each language at most, those with the least hash of their doc_id; the packed
-presence rows (`BUCKETS` / 8 bytes each, 4 KB) of these texts are all that reaches the driver. Every whole text is scored.
+The fit uses `PER_LANGUAGE` labelled texts of each language at most, those with the least hash of their doc_id, and `MOST_ROWS` in
+all, of the `MOST_LANGUAGES` most frequent languages; the packed presence rows (`BUCKETS` / 8 bytes each, 4 KB) of these texts are
+all that reaches the driver. Every whole text is scored.
 
 Defined results: null text and text without a letter are `und` with score 0; so is every text where nothing was learned; ties
-between languages go to the first by name; rows with a null doc_id are scored and neither trained on nor held out; repeated
+between languages go to the first by name; of labelled rows that repeat a doc_id the first by language and text is learned from; rows with a null doc_id are scored and neither trained on nor held out; repeated
 rows are scored alike; other columns play no part; an empty table gives no rows.
 """
 
@@ -29,6 +30,7 @@ from .common import table
 ORDER = 4
 BUCKETS = 1 << 15
 PER_LANGUAGE = 200
+MOST_LANGUAGES, MOST_ROWS = 100, 2000
 LANDMARKS = 256
 RIDGE = 1e-2
 PIECE = 1 << 18
@@ -122,12 +124,15 @@ class Classifier:
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE) -> Classifier:
     """Learns from rows with a language whose crc32(doc_id as text) mod folds is not held."""
     key = F.col(id_col).cast("string")
-    pool = docs.filter(F.col(lang_col).isNotNull() & (F.crc32(key) % folds != held)).select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = pool.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("id").distinct()
-    # per_language ids of each language at most
-    texts = docs.filter(F.col(lang_col).isNotNull()).select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id", "left_semi")
-    rows = sorted((r["id"], r["lang"], bytes(r["bits"])) for r in presence_rows(texts, "text", ["id", "lang"]).dropDuplicates(["id"]).collect())
+    pool = docs.filter(F.col(lang_col).isNotNull() & (F.crc32(key) % folds != held)).select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # MOST_LANGUAGES names
+    names = [r["lang"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    share = min(per_language, max(10, MOST_ROWS // max(1, len(names))))
+    rank = F.dense_rank().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    sample = pool.filter(F.col("lang").isin(names)).select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= share).select("id").distinct()
+    # MOST_ROWS ids at most; of rows that repeat an id the first by language and text counts
+    chosen = pool.filter(F.col("lang").isin(names)).join(F.broadcast(sample), "id", "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("s")).select("id", "s.lang", "s.text")
+    rows = sorted((r["id"], r["lang"], bytes(r["bits"])) for r in presence_rows(chosen, "text", ["id", "lang"]).collect())
     return Classifier.fit([r[2] for r in rows], [r[1] for r in rows])
 
 

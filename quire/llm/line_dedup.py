@@ -12,7 +12,7 @@ like the added ones are replaced, others stay; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -33,22 +33,32 @@ def site_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact)
 
 
+def line_key(line: Column) -> Column:
+    """96 bits of a trimmed line."""
+    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.hash(F.trim(line)).alias("b"))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with text_col cleaned, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-"))
-    parts = F.split(F.col(text_col), "\n", -1)
-    each = docs.filter(F.col(text_col).isNotNull()).select(site.alias("site"), F.explode(parts).alias("l")).filter(F.trim("l") != "").select("site", F.xxhash64(F.trim("l")).alias("line"))
+    parts = F.split(F.col("text"), "\n", -1)
+    # a document's own columns travel in one struct, where no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), site.alias("site"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.length(text_col).alias("n"))
+    each = rows.filter("text IS NOT NULL").select("site", F.explode(parts).alias("l")).filter(F.trim("l") != "").select("site", line_key(F.col("l")).alias("line"))
     bad = written(site_spread(each, min_sites).select("line"), name="boilerplate")
-    name = docs.columns
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    marked = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.length(text_col).alias("_n"), F.explode(parts).alias("l")).filter(F.trim("l") != "").select("_h", "_n", F.xxhash64(F.trim("l")).alias("line"))
+    marked = rows.select("h", "n", F.explode(parts).alias("l")).filter(F.trim("l") != "").select("h", "n", line_key(F.col("l")).alias("line"))
     # written, so that the join below shuffles both sides itself and a text with many copies can be split
-    hit = written(marked.join(bad, "line", "left_semi").groupBy("_h", "_n").agg(F.collect_set("line").alias("_bad")), name="hits")
-    joined = rows.join(hit.withColumnsRenamed({"_h": "_h2", "_n": "_n2"}), (F.col("_h") == F.col("_h2")) & (F.length(text_col) == F.col("_n2")), "left")
-    stay = F.filter(parts, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x))))
-    cleaned = joined.select(*[c for c in name if c != text_col], F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n")).alias(text_col), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_bad").isNull(), 0).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_removed"))
-    return cleaned.select(*name, F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed")
+    hit = written(marked.join(bad, "line", "left_semi").groupBy(F.col("h").alias("of"), F.col("n").alias("of_n")).agg(F.collect_set("line").alias("bad")), name="hits")
+    joined = rows.drop("site").join(hit, (F.col("h") == F.col("of")) & (F.col("n") == F.col("of_n")), "left")
+    stay = F.filter(parts, lambda x: ~F.array_contains("bad", line_key(x)))
+    cleaned = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    out = F.struct(
+        *[cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
+        F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("bad").isNull(), 0).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_removed"),
+    )
+    return joined.select(out.alias("out")).select("out.*")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

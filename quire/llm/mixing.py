@@ -9,9 +9,9 @@ next level, until one is left for each source. A source's taken words thus diffe
 one document. The tree's levels grow with the logarithm of the largest source; no block grows with it.
 
 Defined results: sources are ordered by code point, null last, and weigh 3, 1, 2, repeating; null and blank texts have
-size 0 and are taken 0 words (their copies are as their rate says); rows with the same doc_id, source and size are taken
-alike and duel as one; everything depends on those columns only, so reruns agree; other columns play no part; an empty
-table gives no rows.
+size 0 and are taken 0 words (their copies are as their rate says); rows with the same doc_id, source and size are numbered
+and duel each for itself, so that their copies may differ by one; everything depends on those columns and numbers only, so
+reruns agree; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ BUDGET = 1.5
 LIMIT = 2.0
 FAN_IN = 64
 SALTS = 32
+REPEATS = 10_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, limit: float = LIMIT) -> DataFrame:
@@ -51,7 +52,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, limit: fl
 
 def _duels(items: DataFrame) -> DataFrame:
     """(source, block, left, done) of (source, block, items): the fraction a block leaves and what it settled."""
-    uniform = lambda a, b: (F.pmod(F.xxhash64(a["doc_id"], a["size"], b["doc_id"], b["size"], F.lit("duel")), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    uniform = lambda a, b: (F.pmod(F.xxhash64(a["doc_id"], a["size"], a["no"], b["doc_id"], b["size"], b["no"], F.lit("duel")), F.lit(1 << 53)) / F.lit(float(1 << 53)))
     whole = lambda s, x: s.withField("x", F.lit(float(x)))
 
     def duel(acc, s):
@@ -74,48 +75,79 @@ def _duels(items: DataFrame) -> DataFrame:
 
 
 def pivotal(units: DataFrame, largest: int, fan_in: int = FAN_IN) -> DataFrame:
-    """(doc_id, source, size, whole, x) of (doc_id, source, size, words, whole, x): every x becomes 0 or 1. largest is the number of
-    units of the largest source; words are what a unit weighs in the sums that are kept."""
-    item = F.struct("doc_id", "size", "words", "whole", "x").alias("item")
+    """(doc_id, source, size, no, whole, x) of (doc_id, source, size, no, words, whole, x): every x becomes 0 or 1. largest is the number
+    of units of the largest source; words are what a unit weighs in the sums that are kept."""
+    names = ["doc_id", "source", "size", "no", "whole", "x"]
+    item = F.struct("doc_id", "size", "no", "words", "whole", "x").alias("item")
     fractions = units.filter("words > 0 AND x > 0 AND x < 1")
-    out = units.filter("NOT (words > 0 AND x > 0 AND x < 1)").withColumn("x", F.when(F.col("words") > 0, F.col("x")).otherwise(F.lit(0.0))).select("doc_id", "source", "size", "whole", "x")
-    level, blocks = fractions.select("source", F.xxhash64("doc_id", "size", F.lit("block")).alias("h"), item), max(1, math.ceil(largest / fan_in))
+    out = units.filter("NOT (words > 0 AND x > 0 AND x < 1)").withColumn("x", F.when(F.col("words") > 0, F.col("x")).otherwise(F.lit(0.0))).select(names)
+    level, blocks = fractions.select("source", F.xxhash64("doc_id", "size", "no", F.lit("block")).alias("h"), item), max(1, math.ceil(largest / fan_in))
     while True:
         dealt = level.select("source", F.pmod("h", F.lit(blocks)).alias("block"), "item").groupBy("source", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
         met = written(_duels(dealt), name="duels")
-        out = out.unionByName(met.select("source", F.explode("done").alias("s")).select("source", "s.doc_id", "s.size", "s.whole", "s.x"))
+        out = out.unionByName(met.select("source", F.explode("done").alias("s")).select("source", "s.*").select(names))
         if blocks == 1:
             last = met.select("source", "left.*")
-            coin = F.pmod(F.xxhash64("doc_id", "size", F.lit("last")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-            return out.unionByName(last.withColumn("x", F.when(coin < F.col("x"), 1.0).otherwise(0.0)).select("doc_id", "source", "size", "whole", "x"))
+            coin = F.pmod(F.xxhash64("doc_id", "size", "no", F.lit("last")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+            return out.unionByName(last.withColumn("x", F.when(coin < F.col("x"), 1.0).otherwise(0.0)).select(names))
         level, blocks = met.select("source", F.col("block").alias("h"), F.col("left").alias("item")), math.ceil(blocks / fan_in)
 
 
+def numbered(units: DataFrame) -> DataFrame:
+    """(doc_id, source, size, no): units (doc_id, source, size, rows) as many times as they occur, with a number from 1; those that
+    occur very often are dealt to several tasks before they are written out."""
+    once = units.filter("rows = 1").select("doc_id", "source", "size", F.lit(1).cast("long").alias("no"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / REPEATS))).alias("part")
+    more = units.filter("rows > 1").select("*", part).repartition("doc_id", "source", "size", "part")
+    first = F.col("part") * REPEATS
+    return once.unionByName(more.select("doc_id", "source", "size", F.explode(F.sequence(first + 1, F.least(first + REPEATS, F.col("rows")))).alias("no")))
+
+
 def mix(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", weights=WEIGHTS, budget: float = BUDGET, limit: float = LIMIT) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    """One row per document: doc_id, source, size, no, source_size, target, copies, taken; no numbers the rows of one doc_id, source and size."""
     units = written(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), name="units"
     )
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
+    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     sources = written(sources, name="sources")
     largest = sources.agg(F.max("n")).first()[0] or 0
-    goal = targets(sources.select("source", "source_size"), weights, budget, limit)
+    goal = written(targets(sources.select("source", "source_size"), weights, budget, limit), name="targets")
     # a row for each source and salt: no source's documents meet in one task, however many it has
     salted = goal.select(F.col("source").alias("of"), "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = units.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+
+    def with_goal(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "no"), F.lit(SALTS)).cast("int"))
+        return dealt.join(salted, (F.col("salt_") == F.col("salt")) & F.col("source").eqNullSafe(F.col("of")))
+
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    keyed = keyed.join(salted, (keyed["salt_"] == salted["salt"]) & keyed["source"].eqNullSafe(salted["of"])).withColumn("rate", rate)
-    rated = keyed.select("doc_id", "source", "size", (F.col("size") * F.col("rows")).cast("double").alias("words"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("x"))
-    settled = pivotal(rated, largest)
-    taken = settled.select("doc_id", "source", "size", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
-    again = goal.select(F.col("source").alias("of"), "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    taken = taken.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    per_unit = taken.join(again, (taken["salt_"] == again["salt"]) & taken["source"].eqNullSafe(again["of"])).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    counts = units.filter("rows > 1").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "rows")
-    same = per_unit["doc_id"].eqNullSafe(counts["d"]) & per_unit["source"].eqNullSafe(counts["s"]) & (per_unit["size"] == counts["z"])
-    return per_unit.join(counts, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("rows", F.lit(1).cast("long"))))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    rated = with_goal(numbered(units)).withColumn("rate", rate).select("doc_id", "source", "size", "no", F.col("size").cast("double").alias("words"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("x"))
+    settled = pivotal(rated, largest).select("doc_id", "source", "size", "no", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
+    return with_goal(settled).select("doc_id", "source", "size", "no", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150 % of their words."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The words and the target of every source, to a thousandth."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(count_words(F.col("text"))).alias("source_size"))
+    return targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH s AS (
+  SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS source_size FROM documents GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s
+), f AS (SELECT *, 2.0 * source_size / weight AS full_at FROM w),
+level AS (
+  -- the level to which all sources are filled: the shares below it and the limits above it make up 150 %
+  SELECT min(l) AS l FROM (
+    SELECT a.full_at, (1.5 * (SELECT sum(source_size) FROM w) - coalesce(sum(CASE WHEN b.full_at < a.full_at THEN 2.0 * b.source_size END), 0)) / sum(CASE WHEN b.full_at >= a.full_at THEN b.weight END) AS l
+    FROM f a CROSS JOIN f b GROUP BY a.source, a.full_at
+  ) WHERE l <= full_at
+)
+SELECT source, source_size, round(CAST(least(2.0 * source_size, coalesce((SELECT l FROM level) * weight, 2.0 * source_size)) AS DOUBLE), 3) AS target FROM f
+"""

@@ -200,6 +200,21 @@ def disguised(r: Rewriting) -> list[Span]:
     return out
 
 
+def added(base: list[Span], more: list[Span]) -> list[Span]:
+    """Those of more that meet no base span and no earlier added span of their kind: one sweep over both in order."""
+    out: list[Span] = []
+    for kind in {s[0] for s in more}:
+        held = [s for s in base if s[0] == kind]
+        at, end = 0, 0
+        for k, a, b in in_order([s for s in more if s[0] == kind]):
+            while at < len(held) and held[at][2] <= a:
+                at += 1
+            if a >= end and not (at < len(held) and held[at][1] < b):
+                out.append((k, a, b))
+                end = b
+    return out
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of the text."""
     text = text or ""
@@ -210,11 +225,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         more += [(k, *r.back(a, b)) for k, a, b in detect(r.text)]
     more += [(k, *r.back(a, b)) for k, a, b in disguised(r)]
     more += spelled_digits(r)
-    taken = list(base)
-    for k, a, b in in_order(more):
-        if not any(k == t[0] and a < t[2] and t[1] < b for t in taken):
-            taken.append((k, a, b))
-    return base, in_order(taken)
+    return base, in_order(base + added(base, more))
 
 
 def joined(spans: list[Span]) -> str:

@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "mix_targets": mixing.mix_targets,
+    "shard_small_buckets": sharding.shard_small_buckets,
 }
 SQL = {
     "op1_chat_format": chat_format.SQL,
@@ -23,4 +25,6 @@ SQL = {
     "op8_line_dedup": line_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "mix_targets": mixing.TARGETS_SQL,
+    "shard_small_buckets": sharding.SMALL_SQL,
 }

@@ -12,7 +12,7 @@ is broadcast where its counted entries are at most `BROADCAST_ENTRIES` and joine
 
 Defined results: null text has 0 bytes; a null doc_id has the key of the empty string; a document above the limit has a
 shard of its own (oversized true); rows that repeat one doc_id can't be parted by any bit of its hash: where they are above the
-limit together, the bucket gets overflow pages (shard names ending in .1, .2 ...), filled in the order of size; no split
+limit together, the bucket gets overflow pages (shard names ending in .1, .2 ...), in groups of bounded size; no split
 drops or caps rows; columns named like the added ones are replaced, others stay; an empty table gives no rows.
 """
 
@@ -29,7 +29,9 @@ from .common import table, written
 BITS = 60
 DEEPER = 8
 LIMIT_BYTES = 16 << 20
+SMALL_BYTES = 64 << 10
 BROADCAST_ENTRIES = 1 << 19
+GROUP = 1 << 16
 ADDED = ("shard", "shard_depth", "shard_bytes", "shard_docs", "n_bytes", "oversized")
 
 
@@ -65,11 +67,26 @@ def _directory(shards: DataFrame) -> tuple[DataFrame, int]:
     return entries, depth
 
 
+def _pages(rows: DataFrame, limit: int) -> DataFrame:
+    """rows of overfull buckets (row, key, n_bytes and the shard's columns) dealt to pages within the limit. Rows that repeat one key may
+    be any number, so they are numbered once, dealt to groups of about `GROUP` rows and paged inside their group."""
+    rows = written(rows.withColumn("n", F.monotonically_increasing_id()), name="full")
+    groups = F.ceil(F.col("shard_docs") / GROUP)
+    group = W.partitionBy("shard", "g")
+    before = group.orderBy("n_bytes", "n").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("n"), F.col("groups")))
+    rows = rows.withColumn("fill", F.sum("n_bytes").over(before) - F.col("n_bytes")).withColumn("room", F.greatest(F.lit(limit) - F.max("n_bytes").over(group), F.lit(1)))
+    rows = rows.withColumn("page", F.col("g") + F.floor(F.col("fill") / F.col("room")) * F.col("groups"))
+    page = W.partitionBy("shard", "page")
+    return rows.select("row", "n_bytes", F.when(F.col("page") > 0, F.concat_ws(".", "shard", F.col("page").cast("string"))).otherwise(F.col("shard")).alias("shard"), "shard_depth", F.sum("n_bytes").over(page).alias("shard_bytes"), F.count("*").over(page).alias("shard_docs"))
+
+
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, shard, shard_depth, shard_bytes, shard_docs and oversized."""
     docs = docs.drop(*ADDED)
-    keyed = docs.withColumns({"_key": key_of(F.col(id_col)), "n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
-    rows = written(keyed.select(F.col("_key").alias("key"), "n_bytes"), name="keys")
+    # a document's own columns travel in one struct, where no name of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_of(F.col(id_col)).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = written(keyed.select("key", "n_bytes"), name="keys")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base, top = 0, min(BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 6))
     out, pending = None, keyed
@@ -77,21 +94,16 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", tex
         shards, open_ = _level(rows, base, top, limit)
         entries, depth = _directory(shards)
         small = entries.count() <= BROADCAST_ENTRIES
-        placed = pending.join(F.broadcast(entries) if small else entries, prefix(F.col("_key"), depth) == F.col("entry")).drop("entry")
+        placed = pending.join(F.broadcast(entries) if small else entries, prefix(F.col("key"), depth) == F.col("entry")).drop("entry")
         out = placed if out is None else out.unionByName(placed)
         if top >= BITS or not open_.limit(1).count():
             break
         rows = written(rows.join(open_, prefix(F.col("key"), top) == F.col("p")).drop("p"), name="keys")
-        pending = pending.join(open_, prefix(F.col("_key"), top) == F.col("p")).drop("p")
+        pending = pending.join(open_, prefix(F.col("key"), top) == F.col("p")).drop("p")
         base, top = top, min(BITS, top + DEEPER)
     full = F.col("one_key") & (F.col("shard_docs") > 1) & (F.col("shard_bytes") > limit)
-    fine = out.filter(~full)
-    before = W.partitionBy("shard").orderBy("n_bytes").rowsBetween(W.unboundedPreceding, 0)
-    page = F.floor((F.sum("n_bytes").over(before) - F.col("n_bytes")) / F.greatest(F.lit(limit) - F.max("n_bytes").over(W.partitionBy("shard")), F.lit(1)))
-    paged = out.filter(full).withColumn("_page", page)
-    each = paged.groupBy("shard", "_page").agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_d")).withColumnsRenamed({"shard": "_s", "_page": "_p"})
-    paged = paged.join(each, (F.col("shard") == F.col("_s")) & (F.col("_page") == F.col("_p"))).withColumns({"shard": F.when(F.col("_page") > 0, F.concat_ws(".", "shard", F.col("_page").cast("string"))).otherwise(F.col("shard")), "shard_bytes": F.col("_b"), "shard_docs": F.col("_d")}).drop("_s", "_p", "_b", "_d", "_page")
-    return fine.unionByName(paged).withColumn("oversized", F.col("n_bytes") > limit).drop("_key", "one_key")
+    both = out.filter(~full).select("row", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs").unionByName(_pages(out.filter(full), limit))
+    return both.select("row.*", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", (F.col("n_bytes") > limit).alias("oversized"))
 
 
 def op3_shard(spark, sf_dir: str) -> DataFrame:
@@ -100,6 +112,12 @@ def op3_shard(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", "oversized")
 
 
+def shard_small_buckets(spark, sf_dir: str) -> DataFrame:
+    """The shard of every document, of 64 KiB of text at most: many splits on small tables too."""
+    found = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL_BYTES)
+    return found.select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", "oversized")
+
+
 SQL = """
 WITH k AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
 node AS (
@@ -113,3 +131,4 @@ SELECT doc_id, n_bytes, CASE WHEN depth.d = 0 THEN '-' ELSE lpad(bin(depth.key >
   depth.d AS shard_depth, CAST(node.bytes AS BIGINT) AS shard_bytes, node.docs AS shard_docs, n_bytes > 16777216 AS oversized
 FROM depth JOIN node ON node.d = depth.d AND node.p = depth.key >> (60 - depth.d)
 """
+SMALL_SQL = SQL.replace(str(LIMIT_BYTES), str(SMALL_BYTES))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -117,6 +118,61 @@ def test_near_duplicates_repeated_ids_tie_their_texts(spark):
     assert {(x["doc_id"], x["component_id"], x["kept"]) for x in got} == {(3, 3, True), (5, 3, False), (8, 3, False), (4, 4, True), (6, 4, False), (7, 4, False), (9, 9, True)} and len(got) == len(rows)
 
 
+def clashing(docs):
+    """docs with extra columns under the names that the operators use inside."""
+    for name in "entry one_key _key key row rows h n no page g groups fill room shard shard_docs bad of of_n _h _h2 _bad site line kept _kept copies _c id bytes size least all".split():
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(f"own {name}"))
+    return docs
+
+
+def test_clashing_columns(spark, edge):
+    docs = clashing(edge.select("doc_id", "text", "lang", "source"))
+    cleaned = line_dedup.remove_boilerplate(docs, 2)
+    assert cleaned.columns == [*docs.columns, "n_lines", "n_removed"] and {x["bad"] for x in cleaned.collect()} == {"own bad"}
+    found = sharding.shard(docs, 100)
+    assert set(docs.columns) <= set(found.columns) and {x["key"] for x in found.collect()} == {"own key"} and found.count() == len(EDGE)
+    for made in (near_dedup.near_duplicates(docs), decontaminate.contaminated(docs, spark.createDataFrame([("i", "one")], "item_id string, text string")), mixing.mix(docs), pii.personal_data(docs)):
+        assert made.count() == len(EDGE)
+    model = language_id.fit(docs)
+    assert language_id.identify(docs, model).columns == [*docs.columns, "lang_pred", "lang_score"]
+    assert pii.masked(docs).columns == docs.columns and pii.masked(docs).count() == len(EDGE)
+
+
+def test_mixing_repeats_duel_alone(spark):
+    rows = [(1, "w " * 10, "a")] * 100 + [(k, "w " * 10, "a") for k in range(2, 12)] + [(k, "w " * 10, "b") for k in range(100, 200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    mine = [x for x in got if x["source"] == "a"]
+    assert len(got) == len(rows) and abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 10 and sorted(x["no"] for x in mine if x["doc_id"] == 1) == list(range(1, 101))
+
+
+def plain_targets(sizes, weights=(3, 1, 2), budget=1.5, limit=2.0):
+    """Water filling by repeated dealing."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[k % 3] for k, s in enumerate(order)}
+    left, open_, out = budget * sum(sizes.values()), set(order), {}
+    while open_:
+        share = {s: left * w[s] / sum(w[t] for t in open_) for s in open_}
+        full = {s for s in open_ if share[s] > limit * sizes[s]}
+        if not full:
+            return out | share
+        for s in full:
+            out[s] = limit * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_mixing_targets_by_brute_force(spark):
+    r = random.Random(8)
+    for n in (1, 2, 5, 9):
+        sizes = {s: r.randrange(0, 10 ** r.randrange(1, 6)) for s in [None, "é", "b", "Z", "a", "c", "d", "e", "x"][:n]}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {x["source"]: x["target"] for x in mixing.targets(frame).collect()}
+        want = plain_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_sharding(spark, edge):
     rows = [(k, "x" * (5 + k % 40)) for k in range(2000)] + [(9999, "y" * 5000)] + [(7777, "z" * 90)] * 40
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
@@ -132,6 +188,15 @@ def test_sharding(spark, edge):
     assert sharding.shard(edge).count() == len(EDGE) and sharding.shard(edge.limit(0)).count() == 0
 
 
+def test_sharding_pages_one_key_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP", 100)
+    rows = [(7, "z" * (k % 9)) for k in range(1000)] + [(k, "x" * 30) for k in range(100, 150)]
+    held: dict = {}
+    for x in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 64).collect():
+        held.setdefault(x["shard"], []).append(x)
+    assert sum(map(len, held.values())) == len(rows) and all(sum(x["n_bytes"] for x in xs) == xs[0]["shard_bytes"] <= 64 and len(xs) == xs[0]["shard_docs"] for xs in held.values())
+
+
 def test_language_id(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(docs)
@@ -140,6 +205,40 @@ def test_language_id(spark, edge):
     got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(edge, model).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
     assert all(x["lang_pred"] == "und" for x in language_id.identify(edge, language_id.fit(edge.limit(0))).collect())
+    assert language_id.identify(edge.limit(0), model).count() == 0
+    twice = edge.union(edge).union(spark.createDataFrame([(4, "deux mots ici", "fr", None, None, None)], DOCS))
+    a, b = language_id.fit(twice), language_id.fit(twice.orderBy(F.desc("text")))
+    assert a.names == b.names and np.array_equal(a.weights, b.weights)
+
+
+def test_language_scores_by_brute_force():
+    texts = ["the cat sat on the mat", "der Hund lief über die Straße", "le chat est là", "the dog and the cat", "und der Mann ist alt", "les enfants sont là bas", "a", "ß"]
+    labels = ["en", "de", "fr", "en", "de", "fr", "en", "de"]
+    grams = lambda t: {t.lower()[i : i + n] for n in range(1, language_id.ORDER + 1) for i in range(len(t.lower()) - n + 1)}
+    rows = np.zeros((len(texts), language_id.BUCKETS), np.uint8)
+    for row, t in zip(rows, texts, strict=True):
+        language_id.mark_presence(t, row)
+        assert row.sum() == len(grams(t))
+    model = language_id.Classifier.fit([np.packbits(r).tobytes() for r in rows], labels)
+    # kernel ridge over the same landmarks, solved in the plain form
+    def held(t):
+        row = np.zeros(language_id.BUCKETS, np.uint8)
+        language_id.mark_presence(t, row)
+        return set(np.flatnonzero(row).tolist())
+
+    kernel = lambda a, b: len(held(a) & held(b)) / (len(held(a)) * len(held(b))) ** 0.5
+    full = np.array([[kernel(a, b) for b in texts] for a in texts])
+    value, vector = np.linalg.eigh(full)
+    features = full @ vector / np.sqrt(value)
+    for k, name in enumerate(model.names):
+        mine = np.array([x == name for x in labels])
+        w = np.where(mine, 0.5 / mine.sum(), 0.5 / (~mine).sum()) * len(texts)
+        beta = np.linalg.solve(features.T @ (features * w[:, None]) + language_id.RIDGE * len(texts) * np.eye(len(texts)) / 100, features.T @ (w * np.where(mine, 1, -1)))
+        for t in ["the man", "die Katze", "le petit chien"]:
+            row = np.zeros(language_id.BUCKETS, np.uint8)
+            language_id.mark_presence(t, row)
+            want = np.array([kernel(t, b) for b in texts]) @ vector / np.sqrt(value) @ beta
+            assert abs(float(row @ model.weights[:, k]) / row.sum() ** 0.5 - want) < 1e-3
 
 
 def test_pii_base_against_patterns():
@@ -157,11 +256,35 @@ def test_pii_long_runs_are_linear():
         assert set(base) <= set(spans)
 
 
+def test_pii_added_spans_against_all_pairs():
+    r = random.Random(9)
+    for _ in range(500):
+        cuts = sorted(r.sample(range(100), 8))
+        base = pii.in_order([(r.choice(pii.KINDS), a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)])
+        more = [(r.choice(pii.KINDS), a, a + r.randrange(1, 20)) for a in (r.randrange(100) for _ in range(12))]
+        taken = list(base)
+        for k, a, b in pii.in_order(more):
+            if not any(k == t[0] and a < t[2] and t[1] < b for t in taken):
+                taken.append((k, a, b))
+        assert pii.in_order(base + pii.added(base, more)) == pii.in_order(taken)
+
+
+def test_pii_many_mails_take_linear_time():
+    took = []
+    for n in (4_000, 16_000):
+        text = "bob@mail.org " * n + "＠"
+        began = time.process_time()
+        base, spans = pii.find(text)
+        took.append(time.process_time() - began)
+        assert len(base) == n == len(spans)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_pii_disguises(spark, edge):
     for text, kind, part in [("write bob [at] mail [dot] org soon", "email", "bob [at] mail [dot] org"), ("bоb＠mail.org", "email", "bоb＠mail.org"), ("call +four nine one five one two three four five six seven", "phone", "+four nine one five one two three four five six seven")]:
         assert (kind, text.index(part), text.index(part) + len(part)) in pii.find(text)[1]
     assert not pii.find("we met at noon and at dot . com")[1]
-    assert pii.personal_data(edge).count() == len(EDGE)
+    assert pii.personal_data(edge).count() == len(EDGE) and pii.personal_data(edge.limit(0)).count() == 0
     assert re.fullmatch("[0-9a-f]{64}", pii.personal_data(edge).first()["base_sha256"])
 
 
@@ -187,7 +310,7 @@ def test_line_dedup(spark, edge):
     got = {x["doc_id"]: x for x in line_dedup.remove_boilerplate(docs, 7).collect()}
     assert got[3]["text"] == "own 3\n" and got[3]["n_removed"] == 2 and got[70]["text"] is None
     assert line_dedup.remove_boilerplate(docs, 8).filter("n_removed > 0").count() == 0
-    assert line_dedup.remove_boilerplate(edge).count() == len(EDGE)
+    assert line_dedup.remove_boilerplate(edge).count() == len(EDGE) and line_dedup.remove_boilerplate(edge.limit(0)).count() == 0
 
 
 def test_vector_search(spark):

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 DATA = "/root/testdata/sf0.001"
@@ -23,6 +25,20 @@ def test_empty(spark):
     assert at.count() == 0
 
 
+def test_stages_on_edge_rows(spark):
+    """Nulls, repeated rows, a long text and clashing names in every column."""
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "one two three four five six", "en", "a"), (3, "one two three four five six", "en", "a"), (None, "null id here with words", None, None), (None, "null id here with words", None, None), (5, "word " * 30000, "en", "b"), (6, "one two three four five six", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    for name in "_kept kept rows row key h no copies _c id of n entry".split():
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    at = docs
+    for name, stage in cp.STAGES:
+        at = cp.written(stage(spark, at, DATA))
+        assert at.columns[: len(docs.columns)] == docs.columns and {x["key"] for x in at.collect()} == {"own key"}, name
+        if name == "near-dedup":
+            assert sorted(str(x["doc_id"]) for x in at.collect()) == ["3", "5", "None", "None"]
+
+
 def brute_force(rows, benchmark, told, copies):
     """The pipeline in plain Python, given the told languages and the copies of the mix: the rows before sharding."""
     blank = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
