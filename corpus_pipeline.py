@@ -7,44 +7,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from quire.llm.common import table, written
 
 
+def carried(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct column `row`, where no name of theirs can clash, and the keys."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or without a letter) go; the others get the told language."""
-    told = language_id.identify(docs, language_id.fit(docs))
-    return told.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Documents in which no language can be told (null text, or without a letter) go; the others get the told language. Repeated
+    rows are judged alike; where no row is labelled nothing can be told, and an empty table gives none."""
+    told = language_id.identify(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), language_id.fit(docs))
+    return told.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each near-duplicate group stays (5-word shingles, Jaccard of 0.8 or more), once
-    where its row is repeated."""
-    judged = near_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    marked = docs.join(judged.filter("NOT _kept OR _rows > 1"), "doc_id", "left").filter("_kept IS NULL OR _kept")
-    once = marked.filter("_kept").dropDuplicates(["doc_id", "text"])
-    return marked.filter("_kept IS NULL").unionByName(once).select(*docs.columns)
+    where its row is repeated; texts without words and rows without a doc_id have no group and stay."""
+    judged = near_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    rows = carried(docs, id=F.col("doc_id").cast("long"), text=F.col("text"))
+    marked = rows.join(judged.filter("NOT kept OR rows > 1").select(F.col("doc_id").alias("of"), "kept"), F.col("id") == F.col("of"), "left").filter("kept IS NULL OR kept")
+    once = marked.filter("kept").dropDuplicates(["id", "text"])
+    return marked.filter("kept IS NULL").unionByName(once).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
-    return docs.join(hit, same, "left_anti").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go. Null texts and an empty benchmark hit nothing; rows that repeat a
+    doc_id are judged each by its own text."""
+    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).distinct()
+    rows = carried(docs, id=F.col("doc_id"), h=F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c")).filter("_c > 0").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (mixing.count_words(F.col("text")) == F.col("_z"))
-    return docs.join(copies, same).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select(*docs.columns)
+    """Each document as many times as the mix takes it. Null and blank texts have size 0; a null source is a source; of rows with one
+    doc_id, source and size the first by a hash of their text get the odd copies."""
+    key = lambda size: F.struct(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"))
+    taken = mixing.mix(docs).select(key(F.col("size")).alias("of"), "copies").groupBy("of").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    rows = carried(docs, key=key(mixing.count_words(F.col("text"))), h=F.xxhash64("text"))
+    joined = rows.join(taken, F.col("key") == F.col("of"))
+    no = F.row_number().over(W.partitionBy("key").orderBy("h"))
+    copies = F.col("least") + F.when(no <= F.col("all") - F.col("least") * F.col("rows"), 1).otherwise(0)
+    return joined.withColumn("copies", copies).filter("copies > 0").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard."""
+    """Every document with its shard; null texts have 0 bytes, a null doc_id the key of the empty string."""
     return sharding.shard(docs)
 
 
