@@ -144,7 +144,7 @@ WITH s AS (
 ), f AS (SELECT *, 2.0 * source_size / weight AS full_at FROM w),
 level AS (
   -- the level to which all sources are filled: the shares below it and the limits above it make up 150 %
-  SELECT min(l) AS l FROM (
+  SELECT arg_min(l, full_at) AS l FROM (
     SELECT a.full_at, (1.5 * (SELECT sum(source_size) FROM w) - coalesce(sum(CASE WHEN b.full_at < a.full_at THEN 2.0 * b.source_size END), 0)) / sum(CASE WHEN b.full_at >= a.full_at THEN b.weight END) AS l
     FROM f a CROSS JOIN f b GROUP BY a.source, a.full_at
   ) WHERE l <= full_at
