@@ -27,11 +27,15 @@ CAPITAL = "A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĨŨƠƯẠ-ỹ0-9("
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC, which Spark has no function for. Only texts beyond ASCII travel to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def fold_symbols(c: Column) -> Column:
     """Private-use glyphs and typographic signs as plain characters; expects NFKC text."""
     c = F.regexp_replace(c, f"[{ARROWS}]", "->")
@@ -63,13 +67,22 @@ def norm_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"\d+", "#")
 
 
-def est_tokens(c: Column) -> Column:
-    """An upper estimate of the tokens of c: by characters or by syllables and marks, whichever is more."""
+def token_units(c: Column) -> Column:
+    """The syllables and marks of c."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
     syllables = F.aggregate(words, F.lit(0), lambda n, w: n + 1 + (F.length(w) / 7).cast("int"))
-    marks = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]", ""))
+    return syllables + F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]", ""))
+
+
+def est_tokens(c: Column) -> Column:
+    """An upper estimate of the tokens of c: by characters or by syllables and marks, whichever is more."""
     chars = F.ceil(F.length(c) / F.lit(CHARS_PER_TOKEN)).cast("int")
-    return F.when(F.trim(F.regexp_replace(c, r"\s", "")) == "", 0).otherwise(F.greatest(F.lit(1), chars, syllables + marks)).cast("long")
+    return F.when(F.trim(F.regexp_replace(c, r"\s", "")) == "", 0).otherwise(F.greatest(F.lit(1), chars, token_units(c))).cast("long")
+
+
+def clean_text_lines(c: Column) -> Column:
+    """clean_text for each line of c; lines that end up empty go."""
+    return clean_lines(fold_symbols(nfkc(F.translate(c, INVISIBLE, ""))))
 
 
 def split_sentences(c: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions.headings import ANY_FORM, looks_like_heading, match_heading
+from ..functions.merging import merge_short
+from ..functions.text import clean_text_lines, est_tokens, split_sentences, token_units
+from .retrieval import link, parts
 
 FIGURES = "array<struct<caption:string,width:int,height:int,file:string,page:int>>"
 CHUNKS = (
@@ -64,9 +67,19 @@ def detect_headings(blocks: DataFrame) -> DataFrame:
     return out.select("doc_id", "block_no", "text", "page", F.when(F.col("_n").isNotNull(), "heading").otherwise(F.col("kind")).alias("kind"), F.col("_n").alias("number"), F.col("lv").cast("int").alias("level"), "bold", "is_table", F.coalesce("_k", F.lit("")).alias("heading_kind"), F.when(F.col("_n").isNotNull(), whole).alias("title"))
 
 
+def _measured(blocks: DataFrame) -> DataFrame:
+    """blocks with chars and units, the costs that packing adds up."""
+    return blocks.withColumns({"chars": F.length("text"), "units": token_units(F.col("text"))})
+
+
 def _blocks(g: pd.DataFrame) -> list[folds.Block]:
     none = lambda x: None if x is None or x != x else x
-    return [folds.Block(r.text, int(r.page), r.kind, none(r.number), None if none(r.level) is None else int(r.level), bool(r.bold), bool(r.is_table), none(r.heading_kind) or "", none(r.title)) for r in g.sort_values("block_no").itertuples()]
+    return [folds.Block(r.text, int(r.page), r.kind, none(r.number), None if none(r.level) is None else int(r.level), bool(r.bold), bool(r.is_table), none(r.heading_kind) or "", none(r.title), None, (int(r.chars), int(r.units))) for r in g.sort_values("block_no").itertuples()]
+
+
+def _sections(g: pd.DataFrame, cfg: folds.ChunkConfig | None) -> list[folds.Section]:
+    out = folds.build_sections(_blocks(g))
+    return merge_short(out, cfg.min_tokens, cfg.max_tokens) if cfg is not None and cfg.merge_short else out
 
 
 SECTIONS = "doc_id string, section_no int, number string, title string, level int, path array<string>, kind string, full_heading string, page_start int, page_end int, n_blocks int, est_tokens int"
@@ -76,27 +89,51 @@ def sections(blocks: DataFrame, cfg: folds.ChunkConfig | None = None) -> DataFra
     """One row per section of detected blocks, short ones merged where a config is given."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = folds.build_sections(_blocks(g))
-        if cfg is not None and cfg.merge_short:
-            out = folds.merge_short(out, cfg.min_tokens, cfg.max_tokens)
-        rows = [(key[0], i, s.number, s.title, s.level, s.path, s.kind, s.heading_text, s.page_start, s.page_end, len(s.blocks), folds.tokens(s.heading_text) + sum(folds.tokens(b.text) for b in s.blocks)) for i, s in enumerate(out)]
+        rows = [(key[0], i, s.number, s.title, s.level, s.path, s.kind, s.heading_text, s.page_start, s.page_end, len(s.blocks), s.tokens()) for i, s in enumerate(_sections(g, cfg))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
 
-    return blocks.groupBy("doc_id").applyInPandas(run, SECTIONS)
+    return _measured(blocks).groupBy("doc_id").applyInPandas(run, SECTIONS)
 
 
-def chunks(blocks: DataFrame, cfg: folds.ChunkConfig | None = None, source_file: str = "", page_source: str = "estimated") -> DataFrame:
-    """The chunks of detected blocks, linked in document order."""
-    cfg = cfg or folds.ChunkConfig()
-    names = [c.split()[0] for c in CHUNKS.replace(FIGURES, "x").split(", ")]
+PIECES = f"doc_id string, idx long, page int, piece string, head string, section_number string, section_title string, section_path string, section_level int, has_table boolean, figures {FIGURES}"
+
+
+def pieces(blocks: DataFrame, cfg: folds.ChunkConfig) -> DataFrame:
+    """The ordered pieces of detected blocks: what depends on a document's own earlier decisions ends here."""
+    names = [c.split()[0] for c in PIECES.replace(FIGURES, "x").split(", ")]
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = folds.build_sections(_blocks(g))
-        if cfg.merge_short:
-            out = folds.merge_short(out, cfg.min_tokens, cfg.max_tokens)
-        return pd.DataFrame(folds.build_chunks(out, key[0], source_file, page_source, cfg), columns=names)
+        found = folds.document_pieces(_sections(g, cfg), cfg)
+        rows = [(key[0], i, p.page, p.text, folds.prefix(p.section, cfg), p.section.number, p.section.title, " > ".join(p.section.path), p.section.level, p.has_table, p.figures) for i, p in enumerate(found)]
+        return pd.DataFrame(rows, columns=names)
+
+    return _measured(blocks).groupBy("doc_id").applyInPandas(run, PIECES)
+
 
-    return blocks.groupBy("doc_id").applyInPandas(run, CHUNKS)
+def chunks(blocks: DataFrame, cfg: folds.ChunkConfig | None = None, source_file: str = "", page_source: str = "estimated") -> DataFrame:
+    """The chunks of detected blocks, linked in document order: windows over the pieces. A chunk that goes on in its section
+    opens with the last sentences of the one before, where they fit."""
+    cfg = cfg or folds.ChunkConfig()
+    order = W.partitionBy("doc_id").orderBy("idx")
+    p = parts(pieces(blocks, cfg)).withColumn("chunk_id", F.format_string("%s#p%d#%04d", "doc_id", "page", "idx"))
+    p = link(p).withColumn("before", F.lag("piece").over(order))
+    last = split_sentences(F.col("before"))
+    last = F.when(F.size(last) > 0, last).otherwise(F.array("before"))
+    n = cfg.overlap_sentences
+    p = p.withColumn("carry", F.trim(F.array_join(F.slice(last, F.greatest(F.size(last) - n + 1, F.lit(1)), n), " ")) if n > 0 else F.lit(""))
+    fits = est_tokens(F.col("head")) + est_tokens(F.col("piece")) + est_tokens(F.col("carry")) + 3 <= cfg.max_tokens
+    body = F.when(F.col("is_continuation") & (F.col("carry") != "") & fits, F.concat(F.lit("[...] "), "carry", F.lit("\n"), "piece")).otherwise(F.col("piece"))
+    first = F.trim(F.substring_index("body", "\n", 1))
+    rest = F.when(F.instr("body", "\n") > 0, F.regexp_replace("body", r"\A[^\n]*\n", "")).otherwise("")
+    named = (F.col("head") != "") & (first != "") & F.col("head").endswith(first)
+    p = p.withColumn("body", body)
+    p = p.withColumn("text", clean_text_lines(F.concat(F.col("head"), F.lit("\n"), F.when(named, rest).otherwise(F.col("body"))))).withColumn("raw_text", clean_text_lines(F.col("piece")))
+    out = p.select(
+        "chunk_id", "doc_id", F.lit(source_file).alias("source_file"), "text", "raw_text", "section_number", "section_title", "section_path", "section_level", "page",
+        F.lit(page_source).alias("page_source"), "is_continued", "is_continuation", F.col("part_index").cast("int").alias("part_index"), F.col("part_total").cast("int").alias("part_total"),
+        "prev_chunk_id", "next_chunk_id", F.length("text").alias("char_count"), est_tokens(F.col("text")).cast("int").alias("est_tokens"), "has_table", (F.size("figures") > 0).alias("has_figure"), "figures",
+    )
+    return warnings(out, cfg.max_tokens)
 
 
 def document_blocks(docs: DataFrame, lines_per_page: int = 40) -> DataFrame:

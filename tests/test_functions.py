@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import folds
+from quire.functions import folds, merging, packing
 from quire.functions import headings as hd
 from quire.functions import text as tx
 
@@ -36,7 +36,7 @@ def test_counters(spark, n, fmt, want):
 
 @pytest.mark.parametrize("text", ["", "  ", "a", "word " * 30, "| a | b |\n| --- | --- |", "Đây là một câu. Và thêm nữa!"])
 def test_tokens_agree(spark, text):
-    assert value(spark, tx.est_tokens(F.lit(text))) == folds.tokens(text)
+    assert value(spark, tx.est_tokens(F.lit(text))) == packing.tokens(text)
 
 
 @pytest.mark.parametrize(
@@ -87,9 +87,9 @@ def test_table_drops_blank_columns(spark):
 
 def test_splitters_keep_words():
     text = " ".join(f"Câu số {i} dài vừa phải." for i in range(80))
-    assert all(len(p) <= 200 for p in folds.split_text(text, 200)) and " ".join(folds.split_text(text, 200)).split() == text.split()
+    assert all(len(p) <= 200 for p in packing.split_text(text, 200)) and " ".join(packing.split_text(text, 200)).split() == text.split()
     table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | x{i} |" for i in range(60))
-    parts = folds.split_table(table, 300)
+    parts = packing.split_table(table, 300)
     assert len(parts) > 1 and all(p.startswith("| a | b |") for p in parts)
 
 
@@ -104,6 +104,6 @@ def test_merge_short_joins_siblings():
     blocks = []
     for k in range(1, 4):
         blocks += [folds.Block(f"1.{k} Từ {k}", 1, "heading", f"1.{k}", 1, title=f"Từ {k}"), folds.Block(f"Nghĩa {k}.", 1)]
-    out = folds.merge_short(folds.build_sections(blocks), 60, 512)
+    out = merging.merge_short(folds.build_sections(blocks), 60, 512)
     assert len(out) == 1 and out[0].number == "1.1 + 1.2 + 1.3"
-    assert len(folds.merge_short(folds.build_sections(blocks), 0, 512)) == 3
+    assert len(merging.merge_short(folds.build_sections(blocks), 0, 512)) == 3
