@@ -113,3 +113,32 @@ def continues_sequence(num: Column, prev: Column) -> Column:
         .when(common == size, F.get(num, d - 1) == 1)
         .otherwise(step(common) & ones)
     )
+
+
+def word_rank(marker: Column, fmt: Column, word_level: Column) -> Column:
+    """The rank of a number that Word has made: by its format, then by its list level; decimals state their depth themselves."""
+    f, below = F.lower(F.coalesce(fmt, F.lit(""))), F.greatest(F.lit(0), F.coalesce(word_level, F.lit(1)) - 1)
+    upper = f.contains("upper")
+    inner = F.rtrim(F.trim(marker), F.lit("."))
+    dots = F.length(inner) - F.length(F.replace(inner, F.lit("."), F.lit("")))
+    roman = F.when(upper, ROMAN_UPPER).otherwise(ROMAN) + below
+    letter = F.when(upper, LETTER_UPPER).otherwise(LETTER) + below
+    return F.when(f.contains("roman"), roman).when(f.contains("letter"), letter).otherwise(F.lit(DECIMAL) + F.greatest(dots, below)).cast("int")
+
+
+FIELD_MARK = r"\s*\|\s*"
+
+
+def column_labels(title: Column) -> Column:
+    """The labels ("label: value") of a title that is a whole flattened row; none for others."""
+    fields = F.split(title, FIELD_MARK)
+    named = F.filter(fields, lambda f: (F.instr(f, ":") > 0) & (F.trim(F.substring_index(f, ":", 1)) != ""))
+    return F.when(F.size(fields) > 1, F.transform(named, lambda f: F.lower(F.trim(F.substring_index(f, ":", 1))))).otherwise(F.array().cast("array<string>"))
+
+
+def drop_column_label(title: Column, labels: Column, limit: int = 60) -> Column:
+    """A title of one field without a label that the document's rows have; what is left is a name if it is short."""
+    single = F.size(F.split(title, FIELD_MARK)) == 1
+    rest = F.trim(F.when(F.instr(title, ":") > 0, F.substr(title, F.instr(title, ":") + 1)).otherwise(""), F.lit(" :.-–"))
+    known = F.array_contains(labels, F.lower(F.trim(F.substring_index(title, ":", 1))))
+    return F.when(~single | ~F.coalesce(known, F.lit(False)), title).when(F.length(rest) <= limit, rest).otherwise("")

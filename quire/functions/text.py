@@ -125,10 +125,10 @@ def heading_points(level: Column) -> Column:
 
 
 def to_letters(n: Column) -> Column:
-    """1 -> a, 26 -> z, 27 -> aa ... up to four letters."""
+    """1 -> a, 26 -> z, 27 -> aa ..., for every int."""
     digit = lambda x: F.char(F.lit(97) + x % 26)
     x, out = n - 1, F.lit("")
-    for _ in range(4):
+    for _ in range(7):
         out = F.when(x >= 0, F.concat(digit(x), out)).otherwise(out)
         x = F.when(x >= 0, F.floor(x / 26) - 1).otherwise(x)
     return F.when(n <= 0, n.cast("string")).otherwise(out)
@@ -166,3 +166,10 @@ def looks_truncated(cell: Column) -> Column:
     """A long cell that opens with a single letter which is no word: the source dropped characters."""
     first = F.lower(F.regexp_extract(cell, r"^(\p{L})\s+\p{L}{2,}", 1))
     return (F.length(cell) > 25) & (first != "") & ~first.isin("ở", "à", "ừ", "ê", "ơ", "y", "a", "ý")
+
+
+def markdown_rows(md: Column) -> Column:
+    """The cells of a markdown table's rows, without its rule; escaped bars are plain again."""
+    lines = F.filter(F.split(md, "\n"), lambda x: F.trim(x).startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+    return F.transform(lines, cells)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions.headings import ANY_FORM, looks_like_heading, match_heading
+from ..functions.headings import ANY_FORM, column_labels, drop_column_label, looks_like_heading, match_heading
 from ..functions.merging import merge_short
 from ..functions.text import clean_text_lines, est_tokens, split_sentences, token_units
 from .retrieval import link, parts
@@ -61,6 +61,8 @@ def detect_headings(blocks: DataFrame) -> DataFrame:
     found = candidates(blocks).filter("hit IS NOT NULL").select("doc_id", "block_no", "hit.*")
     kept = found.select("doc_id", "block_no", "number", "kind").groupBy("doc_id").applyInPandas(sequence, "doc_id string, block_no long, ok boolean").filter("ok")
     ranked = found.join(kept, ["doc_id", "block_no"]).withColumn("lv", F.dense_rank().over(W.partitionBy("doc_id").orderBy("rank")))
+    labels = ranked.select("doc_id", F.explode(column_labels(F.col("title"))).alias("l")).groupBy("doc_id").agg(F.collect_set("l").alias("labels"))
+    ranked = ranked.join(labels, "doc_id", "left").withColumn("title", drop_column_label(F.col("title"), F.coalesce("labels", F.array().cast("array<string>"))))
     marks = ranked.select("doc_id", "block_no", F.col("number").alias("_n"), F.col("title").alias("_t"), F.col("kind").alias("_k"), "lv")
     out = blocks.drop("number", "level", "heading_kind", "title").join(marks, ["doc_id", "block_no"], "left")
     whole = F.when((F.col("_t") != "") | (F.rtrim("text", F.lit(".")) == F.rtrim("_n", F.lit("."))), F.col("_t")).otherwise(F.col("text"))

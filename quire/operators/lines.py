@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_key
+from ..functions.text import norm_key, squeeze
 
 PAGE_NUMBER = r"(?i)^(trang\s*)?[-–\s]*\d+\s*(/\s*\d+)?\s*[-–]*$"
 DOT_LEADER = r"\.{4,}\s*\d*\s*$"
@@ -116,3 +116,59 @@ def estimated_pages(paragraphs: DataFrame, chars_per_page: int = 2200) -> DataFr
 
     start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(1).alias("page"), F.array().cast("array<struct<par_no:bigint,page:int>>").alias("out"))
     return docs.select("doc_id", F.explode(F.aggregate("ps", start, step)["out"]).alias("r")).select("doc_id", "r.par_no", "r.page")
+
+
+ITEM_START = r"^([-–•▪]|\(?[a-zA-Z]\)|\(?[ivx]+\)|(Điều|PHẦN|Phần|Chương|Mục)\b|\d+(\.\d+)*[.)]?\s)"
+HANGING = 60.0
+
+
+def merge_wrapped(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, y, x0, size, bold, text): lines (with line_no) that the margin has wrapped joined to paragraphs. A paragraph keeps
+    place and style of its first line, against which every later line is held: a fold over each page's lines."""
+    item = F.struct("line_no", "y", "x0", "size", "bold", "text")
+    pages = lines.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(item)).alias("ls"))
+
+    def step(acc, b):
+        p = acc["now"]
+        gap, indent = b["y"] - p["y"], b["x0"] - p["x0"]
+        opens = b["text"].rlike(ITEM_START)
+        near = (gap > 0) & (gap < p["size"] * 2.2) & ~opens
+        broken = near & p["text"].rlike(r"(?U)\w-$") & b["text"].rlike(r"^\p{Ll}")
+        style = (p["bold"] == b["bold"]) & (F.abs(p["size"] - b["size"]) < 0.6)
+        placed = (F.abs(indent) < 12) | ((indent > 0) & (indent <= HANGING) & p["text"].rlike(ITEM_START))
+        wrapped = near & style & placed & ~p["text"].rlike("[.:;!?]$")
+        joined = p.withField("text", squeeze(F.concat(p["text"], F.when(broken, "").otherwise(" "), b["text"])))
+        return F.when(broken | wrapped, F.struct(acc["done"].alias("done"), joined.alias("now"))).otherwise(F.struct(F.concat(acc["done"], F.array(p)).alias("done"), b.alias("now")))
+
+    first = F.struct(F.slice("ls", 1, 0).alias("done"), F.element_at("ls", 1).alias("now"))
+    rows = F.aggregate(F.slice("ls", F.lit(2), F.size("ls")), first, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return pages.select("doc_id", "page", F.explode(rows).alias("r")).select("doc_id", "page", "r.line_no", "r.y", "r.x0", "r.size", "r.bold", "r.text")
+
+
+def drop_footer_numbers(lines: DataFrame, repeats: DataFrame) -> DataFrame:
+    """lines without margin lines that end in a page number and repeat (doc_id, key) without it."""
+    ratio = F.col("y") / F.col("page_h")
+    shorter = F.regexp_replace("text", r"\s*\d+\s*/\s*\d+\s*$", "")
+    last = F.regexp_extract("text", r"(\S+)\s*$", 1)
+    able = ((ratio <= TOP) | (ratio >= BOTTOM)) & (F.length("text") < 90) & last.rlike(PAGE_NUMBER)
+    known = repeats.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    return lines.join(known, able & (F.col("doc_id") == F.col("_d")) & (norm_key(shorter) == F.col("_k")), "left_anti")
+
+
+def tables_outside_diagrams(tables: DataFrame, diagrams: DataFrame, share: float = 0.6) -> DataFrame:
+    """tables (doc_id, page, x0, y0, x1, y1) of which no diagram of their page covers more than `share`."""
+    d = diagrams.select("doc_id", "page", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    wide = F.least(tables["x1"], d["_x1"]) - F.greatest(tables["x0"], d["_x0"])
+    high = F.least(tables["y1"], d["_y1"]) - F.greatest(tables["y0"], d["_y0"])
+    area = (tables["x1"] - tables["x0"]) * (tables["y1"] - tables["y0"])
+    covered = (wide > 0) & (high > 0) & (wide * high > area * share)
+    return tables.join(d, (tables["doc_id"] == d["doc_id"]) & (tables["page"] == d["page"]) & covered, "left_anti")
+
+
+def flow(texts: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """(doc_id, page, y, kind, text, block_no): text, tables and figures (doc_id, page, y, text) of each page from top to bottom; at one
+    height text stands before tables and these before figures, each as they came (ord)."""
+    rows = [f.select("doc_id", "page", "y", F.lit(k).alias("src"), F.lit(kind).alias("kind"), "ord", "text") for k, (kind, f) in enumerate((("para", texts), ("table", tables), ("figure", figures)))]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    no = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "y", "src", "ord"))
+    return every.select("doc_id", "page", "y", "kind", "text", no.cast("long").alias("block_no"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 ROMANS = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
 
 
+UNNUMBERED = ("bullet", "none")
+
+
 def _roman(n: int) -> str:
     out = ""
     for value, sign in ROMANS:
@@ -52,18 +55,19 @@ def numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
                         state[lvl] = int(x.start_override) - 1
             lvl = int(p.ilvl)
             deeper = [k for k in state if k > lvl and not (known.get((p.num_id, k)) is not None and known[(p.num_id, k)].restart == 0)]
-            if d.fmt != "bullet":
+            if d.fmt not in UNNUMBERED:
                 state[lvl] = state[lvl] + 1 if lvl in state else int(d.start)
             for k in deeper:
                 state.pop(k)
-            if d.fmt == "bullet":
+            if d.fmt in UNNUMBERED:
                 rows.append((key[0], p.par_no, None))
                 continue
             text = d.lvl_text
             for k in range(9, 0, -1):
                 x = known.get((p.num_id, k - 1))
-                if f"%{k}" in text and x is not None:
-                    text = text.replace(f"%{k}", counter_text(int(state.get(k - 1, x.start)), x.fmt))
+                if f"%{k}" in text:
+                    # a level without a definition counts as decimal, from 1
+                    text = text.replace(f"%{k}", counter_text(int(state.get(k - 1, 1 if x is None else x.start)), "decimal" if x is None else x.fmt))
             rows.append((key[0], p.par_no, text.strip()))
         return pd.DataFrame(rows, columns=["doc_id", "par_no", "number"])
 

@@ -13,7 +13,18 @@ MAX_DEPTH = 3
 def open_ancestors(headings: DataFrame) -> DataFrame:
     """headings (doc_id, ord, level) with ancestors (the ords of the open headings above, three at most), depth and demoted.
 
-    A heading is open below another if it is the latest of its level and no later one of a higher level has closed it."""
+    A heading is open below another if it is the latest of its level and no later one of a higher level has closed it. Levels are
+    told by windows; a document with levels above MAX_LEVELS is a fold over its headings instead."""
+    deep = F.max("level").over(W.partitionBy("doc_id")) > MAX_LEVELS
+    marked = headings.withColumn("_deep", deep)
+    return _by_windows(marked.filter("NOT _deep").drop("_deep")).unionByName(_by_fold(marked.filter("_deep").drop("_deep")))
+
+
+def _closed(h: DataFrame, columns: list[str]) -> DataFrame:
+    return h.select(*columns, F.slice("_a", 1, MAX_DEPTH).alias("ancestors"), (F.size("_a") + 1).cast("long").alias("depth"), (F.size("_a") >= MAX_DEPTH).alias("demoted"))
+
+
+def _by_windows(headings: DataFrame) -> DataFrame:
     before = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     last = {m: F.max(F.when(F.col("level") == m, F.col("ord"))).over(before) for m in range(1, MAX_LEVELS + 1)}
     h = headings.withColumns({f"_l{m}": c for m, c in last.items()})
@@ -22,12 +33,26 @@ def open_ancestors(headings: DataFrame) -> DataFrame:
         higher = [F.coalesce(F.col(f"_l{k}"), F.lit(-1)) for k in range(1, m)]
         top = F.greatest(*higher) if len(higher) > 1 else (higher[0] if higher else F.lit(-1))
         opened.append(F.when((F.col("level") > m) & (F.col(f"_l{m}") > top), F.col(f"_l{m}")))
-    found = F.filter(F.array(*opened), lambda x: x.isNotNull())
-    return h.withColumn("_a", found).select(*headings.columns, F.slice("_a", 1, MAX_DEPTH).alias("ancestors"), (F.size("_a") + 1).cast("long").alias("depth"), (F.size("_a") >= MAX_DEPTH).alias("demoted"))
+    return _closed(h.withColumn("_a", F.filter(F.array(*opened), lambda x: x.isNotNull())), headings.columns)
+
+
+def _by_fold(headings: DataFrame) -> DataFrame:
+    row = F.struct("ord", "level")
+    docs = headings.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(row)).alias("hs"))
+    none = F.slice("hs", 1, 0)
+
+    def step(acc, h):
+        up = F.filter(acc["open"], lambda o: o["level"] < h["level"])
+        return F.struct(F.concat(up, F.array(h)).alias("open"), F.concat(acc["done"], F.array(F.struct(h["ord"].alias("ord"), F.transform(up, lambda o: o["ord"]).alias("a")))).alias("done"))
+
+    first = F.struct(none.alias("open"), F.transform(none, lambda h: F.struct(h["ord"].alias("ord"), F.array(h["ord"]).alias("a"))).alias("done"))
+    found = docs.select("_d", F.explode(F.aggregate("hs", first, step)["done"]).alias("r")).select("_d", F.col("r.ord").alias("_o"), F.col("r.a").alias("_a"))
+    return _closed(headings.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("ord") == F.col("_o"))), headings.columns)
 
 
 def paths(headings: DataFrame) -> DataFrame:
-    """headings (doc_id, ord, level, name) that stay, with path: their ancestors' names and their own."""
+    """headings (doc_id, ord, level, name) that stay, with path: their ancestors' names and their own. Names come from the headings
+    before in the document, by their ords, in one shuffle by doc_id."""
     h = open_ancestors(headings).filter("NOT demoted")
     up = h.select("doc_id", "ord", "level", "name", "depth", F.posexplode_outer("ancestors").alias("k", "a"))
     names = headings.select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"), F.col("name").alias("_n"))

@@ -16,7 +16,9 @@ from ..operators import documents as dc
 from ..operators import figures as fg
 from ..operators import lines as ln
 from ..operators import outline as ol
+from ..operators import reporting as rp
 from ..operators import retrieval as rt
+from ..operators import spans as sp
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -211,10 +213,10 @@ def looks_like_heading(spark, d):
 def outline_headings(spark: SparkSession, d: str) -> DataFrame:
     """Each order is a document, each line of it a heading of some level."""
     li = _table(spark, d, "lineitem")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), (F.col("l_partkey") % 5 + 1).cast("long").alias("level"), F.concat(F.lit("P"), F.col("l_partkey")).alias("name"), (F.floor(F.col("l_linenumber") / 2) + 1).cast("long").alias("page")).dropDuplicates(["doc_id", "ord"])
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), (F.col("l_partkey") % 5 + 1).cast("long").alias("level"), F.concat(F.lit("P"), F.col("l_partkey")).alias("name"), (F.floor(F.col("l_linenumber") / 2) + 1).cast("long").alias("page")).groupBy("doc_id", "ord").agg(F.min(F.struct("level", "name", "page")).alias("x")).select("doc_id", "ord", "x.level", "x.name", "x.page")
 
 
-HEADS = "h AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS ord, CAST(l_partkey % 5 + 1 AS BIGINT) AS level, 'P' || l_partkey AS name, CAST(l_linenumber // 2 + 1 AS BIGINT) AS page FROM lineitem)"
+HEADS = "h AS (SELECT doc_id, ord, x.level AS level, x.name AS name, x.page AS page FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS ord, min({'level': CAST(l_partkey % 5 + 1 AS BIGINT), 'name': 'P' || l_partkey, 'page': CAST(l_linenumber // 2 + 1 AS BIGINT)}) AS x FROM lineitem GROUP BY 1, 2))"
 ANCESTORS = "up AS (SELECT a.doc_id, a.ord, a.level, a.name, b.ord AS up FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.ord < a.ord AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.ord > b.ord AND c.ord < a.ord AND c.level <= b.level)), dp AS (SELECT doc_id, ord, level, name, count(up) AS n FROM up GROUP BY ALL)"
 
 
@@ -344,3 +346,139 @@ def merge_short_sections(spark, d):
     from ..functions.folds import ChunkConfig
 
     return dc.sections(dc.detect_headings(blocks), ChunkConfig()).withColumn("path", F.array_join("path", " > "))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each order is a line, each of its items a span."""
+    li = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("line_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("long").alias("no"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("q"))
+    text = F.element_at(F.array(*map(F.lit, SPAN_TEXTS)), (F.col("k") % 7 + 1).cast("int"))
+    return li.groupBy("line_id", "no").agg(F.min("k").alias("k"), F.min("q").alias("q")).select("line_id", "no", text.alias("text"), (F.col("q") % 4 + 8.0).alias("size"), (F.col("k") % 3 == 0).alias("bold"), (F.floor(F.col("no") / 1_000_000) * 50.0).alias("x0"), (F.floor(F.col("no") / 1_000_000) * 50.0 + 47.0 + F.col("q") % 3).alias("x1"))
+
+
+SPAN_TEXTS = ["abc", "12", "*", "từ đó", "3,4", " ", " đuôi"]
+SPANS = f"""raw AS (SELECT l_orderkey AS line_id, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS no, min(l_partkey) AS k, min(l_suppkey) AS q FROM lineitem GROUP BY 1, 2),
+sp AS (SELECT line_id, no, [{", ".join(map(s.q, SPAN_TEXTS))}][k % 7 + 1] AS text, q % 4 + 8.0::DOUBLE AS size, k % 3 = 0 AS bold, (no // 1000000) * 50.0::DOUBLE AS x0, (no // 1000000) * 50.0::DOUBLE + 47.0 + q % 3 AS x1 FROM raw),
+ds AS (SELECT line_id, size, sum(length(trim(text))) AS n, min(no) AS first FROM sp WHERE trim(text) <> '' GROUP BY 1, 2),
+mn AS (SELECT l.line_id, coalesce(m.size, 0.0) AS main FROM (SELECT DISTINCT line_id FROM sp) l LEFT JOIN (SELECT DISTINCT ON (line_id) line_id, size FROM ds ORDER BY line_id, n DESC, first) m USING (line_id)),
+mk AS (SELECT sp.*, main, size <= main - 1.5 AND regexp_matches(trim(text), {s.q(sp.REF_MARK)}) AS mark FROM sp JOIN mn USING (line_id))"""
+
+
+@query(f"WITH {SPANS} SELECT line_id, main FROM mn")
+def dominant_size(spark, d):
+    return sp.dominant_sizes(spans(spark, d))
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT *, lag(x1) OVER w AS e, lag(mark) OVER w AS a FROM mk WINDOW w AS (PARTITION BY line_id ORDER BY no)),
+p AS (SELECT line_id, no, mark, text, CASE WHEN a THEN ltrim(text) WHEN x0 - e > 1.5 THEN ' ' || text ELSE text END AS part FROM b)
+SELECT line_id, {s.squeeze("coalesce(string_agg(part, '' ORDER BY no) FILTER (NOT mark), '')")} AS text, coalesce(arg_min(mark, no) FILTER (trim(text) <> ''), false) AS ref_start FROM p GROUP BY line_id""")
+def line_text(spark, d):
+    return sp.line_texts(spans(spark, d))
+
+
+@query(f"WITH {SPANS} SELECT line_id, max(size) AS size, sum(length(trim(text))) > 0 AND sum(CASE WHEN bold THEN length(trim(text)) ELSE 0 END) >= sum(length(trim(text))) * 0.6 AS bold FROM sp GROUP BY line_id")
+def line_style(spark, d):
+    return sp.line_styles(spans(spark, d))
+
+
+@query(f"WITH {LINES}, p AS (SELECT doc_id, line_no // 5 AS page, sum(length(trim(text, ' '))) AS n FROM lines GROUP BY 1, 2) SELECT doc_id, count(*) AS pages_total, count(*) FILTER (n < 40) AS pages_without_text FROM p GROUP BY doc_id")
+def text_pages(spark, d):
+    return rp.text_pages(doc_lines(spark, d).withColumn("page", F.floor(F.col("line_no") / 5)))
+
+
+BOXES = "b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS BIGINT) AS page, l_partkey % 2 AS kind, l_quantity AS x0, l_quantity * 2 AS y0, l_quantity + l_suppkey % 30 + 10 AS x1, l_quantity * 2 + l_suppkey % 20 + 10 AS y1 FROM lineitem)"
+
+
+@query(f"""WITH {BOXES} SELECT t.doc_id, t.page, t.x0, t.y0, t.x1, t.y1 FROM b t WHERE kind = 0 AND NOT EXISTS (SELECT 1 FROM b d WHERE d.kind = 1 AND d.doc_id = t.doc_id AND d.page = t.page AND least(t.x1, d.x1) > greatest(t.x0, d.x0) AND least(t.y1, d.y1) > greatest(t.y0, d.y0)
+AND (least(t.x1, d.x1) - greatest(t.x0, d.x0)) * (least(t.y1, d.y1) - greatest(t.y0, d.y0)) > (t.x1 - t.x0) * (t.y1 - t.y0) * 0.6::DOUBLE)""")
+def tables_outside_diagrams(spark, d):
+    q, k = F.col("l_quantity"), F.col("l_suppkey")
+    b = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.floor(F.col("l_linenumber") / 3).alias("page"), (F.col("l_partkey") % 2).alias("kind"), q.alias("x0"), (q * 2).alias("y0"), (q + k % 30 + 10).alias("x1"), (q * 2 + k % 20 + 10).alias("y1"))
+    return ln.tables_outside_diagrams(b.filter("kind = 0").drop("kind"), b.filter("kind = 1").drop("kind"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS BIGINT) AS page, l_quantity AS y, l_partkey % 3 AS src, l_extendedprice AS ord, 'P' || l_partkey AS text FROM lineitem)
+SELECT doc_id, page, y, ['para', 'table', 'figure'][src + 1] AS kind, text, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, src, ord) AS block_no FROM f""")
+def flow_blocks(spark, d):
+    f = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.floor(F.col("l_linenumber") / 3).alias("page"), F.col("l_quantity").alias("y"), (F.col("l_partkey") % 3).alias("src"), F.col("l_extendedprice").alias("ord"), F.concat(F.lit("P"), "l_partkey").alias("text"))
+    return ln.flow(*[f.filter(F.col("src") == k) for k in range(3)])
+
+
+@query("SELECT l_orderkey AS doc_id, CASE WHEN sum(CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END) > 0 THEN 'rendered' WHEN sum(CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END) > 0 THEN 'page_break' ELSE 'estimated' END AS page_source FROM lineitem GROUP BY 1")
+def page_source(spark, d):
+    return rp.page_source(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 11 == 0).cast("int").alias("rendered_breaks"), (F.col("l_suppkey") % 7 == 0).cast("int").alias("page_breaks")))
+
+
+@query(f"WITH {TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS no FROM tn) SELECT doc_id, idx, left(raw_text, 300) AS raw_text FROM o WHERE no <= 2")
+def preview_chunks(spark, d):
+    return rp.preview(turns(spark, d), 2, text="raw_text").select("doc_id", "idx", "raw_text")
+
+
+@query(f"WITH {TURNS}, c AS (SELECT doc_id, count(*) AS n, CASE WHEN doc_id % 9 = 0 THEN 'broken' END AS error FROM tn GROUP BY doc_id) SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS chunks, count(error) AS failures, CASE WHEN count(error) > 0 AND sum(n) = 0 THEN 1 ELSE 0 END AS exit_code FROM c")
+def run_summary(spark, d):
+    c = turns(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return rp.run_summary(c.withColumn("error", F.when(F.col("doc_id") % 9 == 0, "broken")))
+
+
+_WARN = {"pages_total": "k % 10", "pages_without_text": "k % 9", "n_chunks": "k % 5", "orphans": "k % 3", "too_long": "k % 4", "lower_titles": "k % 6", "truncated": "k % 7", "depth": "k % 8"}
+_WARN_SQL = ", ".join(f"{v} AS {k}" for k, v in _WARN.items())
+
+
+@query(f"""WITH w AS (SELECT k AS doc_id, {_WARN_SQL} FROM (SELECT c_custkey AS k FROM customer))
+SELECT doc_id, concat_ws('; ', CASE WHEN pages_total > 0 AND pages_without_text >= pages_total * 0.8::DOUBLE THEN pages_without_text || '/' || pages_total || ' pages have no text layer: a scan' END, CASE WHEN n_chunks = 0 THEN 'no chunks were produced' END,
+ CASE WHEN n_chunks > 0 AND orphans > n_chunks * 0.3::DOUBLE THEN orphans || '/' || n_chunks || ' chunks have no section' END, CASE WHEN too_long > 0 THEN too_long || ' chunks are over the token ceiling' END, CASE WHEN lower_titles > 0 THEN lower_titles || ' section names begin in lower case' END,
+ CASE WHEN truncated > 0 THEN truncated || ' lines look truncated' END, CASE WHEN depth > 6 THEN 'the outline is ' || depth || ' levels deep' END) AS warnings FROM w""")
+def document_warnings(spark, d):
+    c = _table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("k"))
+    return rp.document_warnings(c.select("doc_id", *[F.expr(v).alias(k) for k, v in _WARN.items()])).select("doc_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS id, ['2.1.3.', 'iv.', 'b)', '7'][c_custkey % 4 + 1] AS m, [NULL, 'upperRoman', 'lowerRoman', 'upperLetter', 'lowerLetter', 'decimal'][c_custkey % 6 + 1] AS f, CAST(c_custkey % 5 AS INTEGER) AS l FROM customer)
+SELECT id, CAST(CASE WHEN f ILIKE '%roman%' THEN (CASE WHEN f ILIKE '%upper%' THEN 3 ELSE 50 END) + greatest(0, l - 1) WHEN f ILIKE '%letter%' THEN (CASE WHEN f ILIKE '%upper%' THEN 25 ELSE 30 END) + greatest(0, l - 1)
+ ELSE 10 + greatest(length(rtrim(m, '.')) - length(replace(rtrim(m, '.'), '.', '')), l - 1, 0) END AS INTEGER) AS rank FROM m""")
+def word_rank(spark, d):
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % n + 1).cast("int"))
+    c = _table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), hd.word_rank(pick(["2.1.3.", "iv.", "b)", "7"], 4), pick([None, "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "decimal"], 6), (F.col("c_custkey") % 5).cast("int")).alias("rank"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, ['Rule', 'Rule: ' || c_name, 'Owner: ' || c_name || ' | Rule: x', 'Rule: ' || repeat('long ', 20), 'Other: ' || c_name][c_custkey % 5 + 1] AS t FROM customer)
+SELECT id, CASE WHEN t LIKE '%|%' OR lower(trim(split_part(t, ':', 1))) NOT IN ('owner', 'rule') THEN t WHEN length(trim(CASE WHEN t LIKE '%:%' THEN substr(t, instr(t, ':') + 1) ELSE '' END, ' :.-–')) <= 60 THEN trim(CASE WHEN t LIKE '%:%' THEN substr(t, instr(t, ':') + 1) ELSE '' END, ' :.-–') ELSE '' END AS title FROM t""")
+def column_label_titles(spark, d):
+    n = F.col("c_name")
+    t = F.element_at(F.array(F.lit("Rule"), F.concat(F.lit("Rule: "), n), F.concat(F.lit("Owner: "), n, F.lit(" | Rule: x")), F.concat(F.lit("Rule: "), F.repeat(F.lit("long "), 20)), F.concat(F.lit("Other: "), n)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), t.alias("title"))
+    labels = rows.select(F.explode(hd.column_labels(F.col("title"))).alias("l")).agg(F.collect_set("l").alias("labels"))
+    return rows.crossJoin(F.broadcast(labels)).select("id", hd.drop_column_label(F.col("title"), F.col("labels")).alias("title"))  # one row of labels
+
+
+@query("""SELECT n_nationkey AS id, [[n_name, 'a|b'], ['x', '' || n_nationkey]]::VARCHAR AS cells FROM nation""")
+def markdown_rows(spark, d):
+    md = F.concat(F.lit("| "), "n_name", F.lit(" | a\\|b |\n| --- | --- |\n| x | "), "n_nationkey", F.lit(" |"))
+    rows = tx.markdown_rows(md)
+    text = F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), F.array_join(r, ", "), F.lit("]"))), ", "), F.lit("]"))
+    return _table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), text.alias("cells"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN least(c_custkey % 200, c_custkey % 130) >= 70 THEN 'figure' ELSE 'logo' END AS kind FROM customer")
+def docx_image_kind(spark, d):
+    k = F.col("c_custkey")
+    return _table(spark, d, "customer").select(k.alias("id"), fg.docx_image_kind((k % 200).cast("double"), (k % 130).cast("double")).alias("kind"))
+
+
+@query("""SELECT l_orderkey AS image, CASE WHEN sum(CASE WHEN l_partkey % 256 < 247 THEN l_quantity ELSE 0 END) = 0 THEN 0.0 ELSE sum(CASE WHEN l_partkey % 256 < 170 THEN l_quantity ELSE 0 END) / sum(CASE WHEN l_partkey % 256 < 247 THEN l_quantity ELSE 0 END) END AS ink, count(DISTINCT l_suppkey % 50) AS colours FROM lineitem GROUP BY 1""")
+def image_measures(spark, d):
+    return fg.measured(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 256).alias("grey"), (F.col("l_suppkey") % 50).alias("colour"), F.col("l_quantity").alias("n")))
+
+
+@query("""WITH i AS (SELECT o_orderkey AS doc_id FROM orders) SELECT i.doc_id, CAST(coalesce(sum(CASE WHEN l_quantity BETWEEN 10 AND 30 AND l_suppkey % 40 BETWEEN 5 AND 25 THEN length('w' || l_partkey) END), 0) AS BIGINT) AS live_chars FROM i LEFT JOIN lineitem ON l_orderkey = i.doc_id AND l_linenumber <= 3 GROUP BY 1""")
+def live_chars(spark, d):
+    images = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(10.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(25.0).alias("y1"))
+    words = _table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x"), (F.col("l_suppkey") % 40).alias("y"), F.concat(F.lit("w"), "l_partkey").alias("text"))
+    return fg.live_chars(images, words).select("doc_id", "live_chars")
+
+
+@query()
+def wrapped_lines(spark, d):
+    """The documents' lines as page lines, joined where the margin wraps them."""
+    lines = doc_lines(spark, d).select("doc_id", F.floor(F.col("line_no") / 40).alias("page"), "line_no", (F.col("line_no") % 40 * 14.0).alias("y"), F.lit(72.0).alias("x0"), F.lit(11.0).alias("size"), F.lit(False).alias("bold"), tx.squeeze(F.col("text")).alias("text")).filter("text <> ''")
+    return ln.merge_wrapped(lines)

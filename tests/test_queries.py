@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from quire.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer part nation lineitem documents conversations"
+TABLES = "customer part nation lineitem orders documents conversations"
 
 
 @pytest.fixture(scope="module")
