@@ -31,9 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least doc_id of each near-duplicate group stays (5-word shingles, Jaccard of 0.8 or more), once
     where its row is repeated; texts without words and rows without a doc_id have no group and stay."""
     judged = near_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    rows = carried(docs, id=F.col("doc_id").cast("long"), text=F.col("text"))
+    rows = carried(docs, id=F.col("doc_id").cast("long"))
     marked = rows.join(judged.filter("NOT kept OR rows > 1").select(F.col("doc_id").alias("of"), "kept"), F.col("id") == F.col("of"), "left").filter("kept IS NULL OR kept")
-    once = marked.filter("kept").dropDuplicates(["id", "text"])
+    once = marked.filter("kept").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"]).drop("text")
     return marked.filter("kept IS NULL").unionByName(once).select("row.*")
 
 
@@ -48,12 +48,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it. Null and blank texts have size 0; a null source is a source; of rows with one
     doc_id, source and size the first by a hash of their text get the odd copies."""
-    key = lambda size: F.struct(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"))
+    doc, source = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
+    key = lambda size: F.concat_ws(",", F.length(doc).cast("string"), doc, size.cast("string"), source)
     taken = mixing.mix(docs).select(key(F.col("size")).alias("of"), "copies").groupBy("of").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
     rows = carried(docs, key=key(mixing.count_words(F.col("text"))), h=F.xxhash64("text"))
-    joined = rows.join(taken, F.col("key") == F.col("of"))
-    no = F.row_number().over(W.partitionBy("key").orderBy("h"))
-    copies = F.col("least") + F.when(no <= F.col("all") - F.col("least") * F.col("rows"), 1).otherwise(0)
+    # the window deals the rows by key, which the join then takes as they lie
+    joined = rows.withColumn("no", F.row_number().over(W.partitionBy("key").orderBy("h"))).join(taken, F.col("key") == F.col("of"))
+    copies = F.col("least") + F.when(F.col("no") <= F.col("all") - F.col("least") * F.col("rows"), 1).otherwise(0)
     return joined.withColumn("copies", copies).filter("copies > 0").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
