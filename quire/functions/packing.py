@@ -15,11 +15,13 @@ from itertools import accumulate, groupby
 from .text import CAPITAL, CHARS_PER_TOKEN
 
 Cost = tuple[int, int]
+#: Signs that are neither alphanumeric nor blank.
+_MARK = re.compile(r"[^\w\s]|_")
 _CUT = re.compile(f"(?<=[.!?;:])\\s+(?=[{CAPITAL}])")
 
 
 def cost(text: str) -> Cost:
-    return len(text), sum(1 + len(w) // 7 for w in text.split()) + sum(not (c.isalnum() or c.isspace()) for c in text)
+    return len(text), sum(1 + len(w) // 7 for w in text.split()) + len(_MARK.findall(text))
 
 
 def by_tokens(c: Cost) -> int:
