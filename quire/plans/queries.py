@@ -14,6 +14,7 @@ from ..functions import sql as s
 from ..functions import text as tx
 from ..operators import documents as dc
 from ..operators import figures as fg
+from ..operators import layout as lo
 from ..operators import lines as ln
 from ..operators import outline as ol
 from ..operators import reporting as rp
@@ -482,3 +483,80 @@ def wrapped_lines(spark, d):
     """The documents' lines as page lines, joined where the margin wraps them."""
     lines = doc_lines(spark, d).select("doc_id", F.floor(F.col("line_no") / 40).alias("page"), "line_no", (F.col("line_no") % 40 * 14.0).alias("y"), F.lit(72.0).alias("x0"), F.lit(11.0).alias("size"), F.lit(False).alias("bold"), tx.squeeze(F.col("text")).alias("text")).filter("text <> ''")
     return ln.merge_wrapped(lines)
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' lines as items: every third of a kind of its own."""
+    n = F.length("text")
+    kind = F.when(n % 3 == 0, "heading").when(n % 7 == 0, "figure").when(n % 5 == 0, "table").otherwise("para")
+    return doc_lines(spark, d).select("doc_id", F.col("line_no").alias("item_no"), F.floor(F.col("line_no") / 20).alias("page"), kind.alias("kind"), F.col("text"), (n % 4).cast("int").alias("level"), (F.lit(10.5) + n % 5).alias("size"), (n % 90).cast("double").alias("height"))
+
+
+ITEMS = f"""{LINES}, it AS (SELECT doc_id, line_no AS item_no, line_no // 20 AS page, CASE WHEN length(text) % 3 = 0 THEN 'heading' WHEN length(text) % 7 = 0 THEN 'figure' WHEN length(text) % 5 = 0 THEN 'table' ELSE 'para' END AS kind,
+ text, length(text) % 4 AS level, 10.5::DOUBLE + length(text) % 5 AS size, CAST(length(text) % 90 AS DOUBLE) AS height FROM lines)"""
+_ROWS_SQL = "greatest(1, ceil(length(text) / {w}))"
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, item_no, CAST(CASE kind WHEN 'figure' THEN CASE WHEN height = 0 THEN 3 ELSE greatest(2, ceil(height / 14) + 1) END
+ WHEN 'table' THEN CASE WHEN regexp_matches(text, '\\S') THEN {_ROWS_SQL.format(w="88.0::DOUBLE")} ELSE 0 END + 1 ELSE {_ROWS_SQL.format(w="(88 * 10.5::DOUBLE / size)")} + CASE WHEN kind = 'heading' THEN 1 ELSE 0 END END AS BIGINT) AS lines FROM it""")
+def item_lines(spark, d):
+    return _items(spark, d).select("doc_id", "item_no", lo.item_lines(F.col("kind"), F.col("text"), F.col("size"), F.col("height")).alias("lines"))
+
+
+GROUPS = f"{ITEMS}, p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY item_no) AS before FROM it), gr AS (SELECT *, CAST(sum(CASE WHEN before = 'heading' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY item_no) AS BIGINT) AS group_no FROM p)"
+
+
+@query(f"WITH {GROUPS} SELECT doc_id, item_no, group_no, count(*) FILTER (kind = 'heading') OVER (PARTITION BY doc_id, group_no) AS heads FROM gr")
+def keep_together(spark, d):
+    return lo.keep_together(_items(spark, d)).select("doc_id", "item_no", "group_no", "heads")
+
+
+@query(f"WITH {GROUPS} SELECT doc_id, group_no, coalesce(max(height) FILTER (kind = 'figure'), 0.0::DOUBLE) AS height FROM gr GROUP BY 1, 2")
+def group_heights(spark, d):
+    return lo.group_heights(lo.keep_together(_items(spark, d)))
+
+
+@query(f"""WITH {ITEMS}, b AS (SELECT *, (item_no % 20) * 30.0::DOUBLE AS bottom FROM it), l AS (SELECT doc_id, page, max(bottom) AS bottom, arg_max(size, bottom) AS size FROM b GROUP BY 1, 2), e AS (SELECT doc_id, max(page) AS last FROM b GROUP BY 1)
+SELECT l.doc_id, l.page FROM l JOIN e USING (doc_id) WHERE page < last AND size > 10.9::DOUBLE AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = l.doc_id AND b.page = l.page AND b.kind = 'figure' AND b.bottom + b.height > l.bottom)""")
+def stranded_pages(spark, d):
+    lines = _items(spark, d).withColumns({"bottom": F.col("item_no") % 20 * 30.0, "line_no": F.col("item_no")})
+    return lo.stranded_pages(lines, lines.filter("kind = 'figure'").select("doc_id", "page", (F.col("bottom") + F.col("height")).alias("bottom")))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_no AS page FROM lines WHERE length(trim(text)) < 15 AND NOT (length(text) % 3 > 1) AND length(text) % 5 = 0""")
+def blank_pages(spark, d):
+    size = (F.length("text") % 3).cast("int")
+    pages = doc_lines(spark, d).select("doc_id", F.col("line_no").alias("page"), "text", F.array(F.struct(size.alias("width"), size.alias("height"))).alias("images"), (F.length("text") % 5).alias("drawings"))
+    return lo.blank_pages(pages)
+
+
+_ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""WITH {ITEMS}, h AS (SELECT doc_id, page, item_no, CASE kind
+ WHEN 'heading' THEN '<h' || greatest(1, level) || ' style="font-size: ' || size || 'px' || CASE WHEN level = 0 THEN '; text-align: center' ELSE '' END || '">' || {_ESC.format(x="text")} || '</h' || greatest(1, level) || '>'
+ WHEN 'figure' THEN '<p class="fig">' || {_ESC.format(x="text")} || '</p>' WHEN 'table' THEN '<table><tr><th>' || {_ESC.format(x="replace(trim(text), '|', '/')")} || '</th><th>&lt;x&gt;</th></tr><tr><td>1|2</td><td></td></tr></table>'
+ ELSE CASE WHEN regexp_matches(text, '\\S') THEN CASE WHEN regexp_matches(text, {s.q(lo.BULLET)}) THEN '<p class="li">' ELSE '<p>' END || {_ESC.format(x="trim(text)")} || '</p>' ELSE '' END END AS html FROM it)
+SELECT doc_id, page, coalesce(nullif(string_agg(html, '' ORDER BY item_no), ''), '<p></p>') AS html FROM h GROUP BY 1, 2""")
+def page_html(spark, d):
+    cell = F.replace(F.trim("text"), F.lit("|"), F.lit("/"))
+    md = F.concat(F.lit("| "), cell, F.lit(" | <x> |\n| --- | --- |\n| 1\\|2 |  |"))
+    return lo.page_html(_items(spark, d).withColumn("text", F.when(F.col("kind") == "table", md).otherwise(F.col("text"))))
+
+
+@query()
+def layout_flow(spark, d):
+    """All documents as one flow each."""
+    return lo.layout(dc.detect_headings(dc.document_blocks(_table(spark, d, "documents"))))
+
+
+@query()
+def layout_sections(spark, d):
+    """All documents with pages of one section each."""
+    return lo.layout(dc.detect_headings(dc.document_blocks(_table(spark, d, "documents"))), by_section=True)
+
+
+@query()
+def rebuilt_documents(spark, d):
+    """Pages, sections and figures of each document's flow."""
+    return lo.rebuilt(layout_flow(spark, d))
