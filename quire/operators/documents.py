@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions.headings import ANY_FORM, column_labels, drop_column_label, looks_like_heading, match_heading
+from ..functions.headings import ANY_FORM, BANNER, column_labels, drop_column_label, looks_like_heading, match_heading, word_rank
 from ..functions.merging import merge_short
-from ..functions.text import clean_text_lines, est_tokens, split_sentences, token_units
+from ..functions.text import clean_text, clean_text_lines, est_tokens, split_sentences, token_units
 from .retrieval import link, parts
 
 FIGURES = "array<struct<caption:string,width:int,height:int,file:string,page:int>>"
@@ -20,21 +20,41 @@ CHUNKS = (
     "section_level int, page int, page_source string, is_continued boolean, is_continuation boolean, part_index int, part_total int, prev_chunk_id string, "
     f"next_chunk_id string, char_count int, est_tokens int, has_table boolean, has_figure boolean, figures {FIGURES}, warnings array<string>"
 )
+KEYWORD_KINDS = ("part", "chapter", "appendix", "section", "article")
 BLOCKS = "doc_id string, block_no long, text string, page int, kind string, number string, level int, bold boolean, is_table boolean, heading_kind string, title string"
 
 
 def candidates(blocks: DataFrame) -> DataFrame:
     """blocks (doc_id, block_no, text, page, bold, is_table, kind) with `hit`, the heading each line may be; null for others."""
-    able = ~F.col("is_table") & (F.col("kind") != "figure") & F.col("text").rlike(ANY_FORM)
+    line = ~F.col("is_table") & (F.col("kind") != "figure")
+    able = line & F.col("text").rlike(ANY_FORM)
     # exploding one element keeps the optimizer from writing the long expression out at each of its uses
     blocks = blocks.withColumn("hit", F.explode(F.array(F.when(able, match_heading(F.col("text"))))))
     fits = looks_like_heading(F.col("text"), F.col("hit.title"), F.col("hit.kind"), F.col("bold"))
-    return blocks.withColumn("hit", F.when(F.col("hit").isNotNull() & fits, F.col("hit")))
+    typed = F.col("hit").isNotNull() & fits
+    if not {"number", "list_format", "level"} <= set(blocks.columns):
+        return blocks.withColumns({"hit": F.when(typed, F.col("hit")), "from_word": F.lit(False)})
+    # Word's number counts as it stands, unless the line opens with a keyword
+    keyword = typed & F.col("hit.kind").isin(*KEYWORD_KINDS)
+    word = line & F.col("number").isNotNull() & (F.trim("text") != "") & ~F.coalesce(keyword, F.lit(False))
+    shown = F.struct("number", F.col("text").alias("title"), word_rank(F.col("number"), F.col("list_format"), F.col("level")).alias("rank"), F.lit("decimal").alias("kind"))
+    stands = looks_like_heading(F.col("text"), F.col("text"), F.lit("decimal"), F.col("bold"), True)
+    return blocks.withColumns({"hit": F.when(word, F.when(stands, shown)).when(typed, F.col("hit")), "from_word": F.coalesce(word, F.lit(False))})
+
+
+def with_banners(blocks: DataFrame) -> DataFrame:
+    """blocks (with size and number) whose banners are joined on their first block and named in `banner`; the others of a run are empty.
+    The size of body text is the one that most characters have."""
+    sizes = blocks.filter("kind = 'para' AND NOT is_table AND size > 0").groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min("block_no").alias("at"))
+    body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("at"))).alias("body_size"))
+    marked = mark_banners(blocks.join(body, "doc_id", "left").withColumn("body_size", F.coalesce("body_size", F.lit(0.0))))
+    joined = F.when(F.col("banner").isNotNull(), clean_text(F.col("banner"))).when(F.col("banner_tail"), "").otherwise(F.col("text"))
+    return marked.withColumns({"text": joined, "banner": F.when(F.col("banner").isNotNull(), joined)}).drop("body_size", "banner_tail")
 
 
 def mark_banners(blocks: DataFrame, body_size: str = "body_size") -> DataFrame:
-    """blocks with `banner`, the joined text of a run of large upper-case lines, on the run's first block; documents with one
-    run have none."""
+    """blocks with `banner`, the joined text of a run of large upper-case lines, on the run's first block, and `banner_tail` on its
+    others; documents with one run have none."""
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"^\p{L}{2,}$")))
@@ -47,19 +67,26 @@ def mark_banners(blocks: DataFrame, body_size: str = "body_size") -> DataFrame:
     many = F.sum(F.col("_opens").cast("int")).over(W.partitionBy("doc_id")) >= 2
     text = F.array_join(F.collect_list("text").over(W.partitionBy("doc_id", "_run").orderBy("block_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), " ")
     first = F.row_number().over(run_order) == 1
-    return b.withColumn("banner", F.when(F.col("_b") & many & first, text)).drop("_b", "_opens", "_run")
+    return b.withColumns({"banner": F.when(F.col("_b") & many & first, text), "banner_tail": F.coalesce(F.col("_b") & many & ~first, F.lit(False))}).drop("_b", "_opens", "_run")
 
 
 def detect_headings(blocks: DataFrame) -> DataFrame:
     """blocks with kind, number, level, heading_kind and title of the headings. Numbers that break their document's sequence
-    are content; the kinds of marks that are left are ranked densely to levels."""
+    are content; the kinds of marks that are left are ranked densely to levels. Blocks with size and number may hold banners;
+    those with number, level and list_format carry Word's numbers."""
 
     def sequence(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block_no")
-        return g[["doc_id", "block_no"]].assign(ok=folds.keep_sequence(list(zip(g["number"], g["kind"], [False] * len(g), strict=True))))
-
-    found = candidates(blocks).filter("hit IS NOT NULL").select("doc_id", "block_no", "hit.*")
-    kept = found.select("doc_id", "block_no", "number", "kind").groupBy("doc_id").applyInPandas(sequence, "doc_id string, block_no long, ok boolean").filter("ok")
+        return g[["doc_id", "block_no"]].assign(ok=folds.keep_sequence(list(zip(g["number"], g["kind"], g["from_word"], strict=True))))
+
+    if {"size", "number"} <= set(blocks.columns):
+        blocks = with_banners(blocks)
+    found = candidates(blocks)
+    if "banner" in blocks.columns:
+        name = F.struct(F.lit("").alias("number"), F.col("banner").alias("title"), F.lit(BANNER).alias("rank"), F.lit("banner").alias("kind"))
+        found = found.withColumn("hit", F.when(F.col("banner").isNotNull(), name).otherwise(F.col("hit")))
+    found = found.filter("hit IS NOT NULL").select("doc_id", "block_no", "hit.*", "from_word")
+    kept = found.select("doc_id", "block_no", "number", "kind", "from_word").groupBy("doc_id").applyInPandas(sequence, "doc_id string, block_no long, ok boolean").filter("ok")
     ranked = found.join(kept, ["doc_id", "block_no"]).withColumn("lv", F.dense_rank().over(W.partitionBy("doc_id").orderBy("rank")))
     labels = ranked.select("doc_id", F.explode(column_labels(F.col("title"))).alias("l")).groupBy("doc_id").agg(F.collect_set("l").alias("labels"))
     ranked = ranked.join(labels, "doc_id", "left").withColumn("title", drop_column_label(F.col("title"), F.coalesce("labels", F.array().cast("array<string>"))))

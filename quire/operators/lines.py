@@ -104,15 +104,17 @@ def join_rows(lines: DataFrame, tolerance: float = 2.5) -> DataFrame:
 
 
 def estimated_pages(paragraphs: DataFrame, chars_per_page: int = 2200) -> DataFrame:
-    """paragraphs (doc_id, par_no, text) with page: a new page after so many characters. The count begins anew with each page,
-    so it is a fold."""
-    item = F.struct("par_no", F.length("text").cast("long").alias("n"))
+    """paragraphs (doc_id, par_no, text) with page: a new page after so many characters, and before a paragraph with page_breaks,
+    where there is such a column. The count begins anew with each page, so it is a fold."""
+    breaks = F.col("page_breaks") > 0 if "page_breaks" in paragraphs.columns else F.lit(False)
+    item = F.struct("par_no", F.length("text").cast("long").alias("n"), F.coalesce(breaks, F.lit(False)).alias("b"))
     docs = paragraphs.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("ps"))
 
     def step(acc, p):
-        full = acc["chars"] + p["n"] >= chars_per_page
-        row = F.struct(p["par_no"].alias("par_no"), acc["page"].alias("page"))
-        return F.struct(F.when(full, 0).otherwise(acc["chars"] + p["n"]).cast("long").alias("chars"), (acc["page"] + full.cast("int")).alias("page"), F.concat(acc["out"], F.array(row)).alias("out"))
+        page, chars = acc["page"] + p["b"].cast("int"), F.when(p["b"], 0).otherwise(acc["chars"]) + p["n"]
+        full = chars >= chars_per_page
+        row = F.struct(p["par_no"].alias("par_no"), page.alias("page"))
+        return F.struct(F.when(full, 0).otherwise(chars).cast("long").alias("chars"), (page + full.cast("int")).alias("page"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(1).alias("page"), F.array().cast("array<struct<par_no:bigint,page:int>>").alias("out"))
     return docs.select("doc_id", F.explode(F.aggregate("ps", start, step)["out"]).alias("r")).select("doc_id", "r.par_no", "r.page")

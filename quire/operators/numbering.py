@@ -34,7 +34,7 @@ def counter_text(n: int, fmt: str) -> str:
 
 
 def numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
-    """(doc_id, par_no, number): paragraphs (doc_id, par_no, num_id, ilvl) numbered by levels (doc_id, num_id, abstract_id, ilvl, fmt,
+    """(doc_id, par_no, number, list_format): paragraphs (doc_id, par_no, num_id, ilvl) numbered by levels (doc_id, num_id, abstract_id, ilvl, fmt,
     lvl_text, start, restart, start_override); bullets have none. The definitions travel with their document."""
 
     def run(key: tuple, pars: pd.DataFrame, defs: pd.DataFrame) -> pd.DataFrame:
@@ -45,7 +45,7 @@ def numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
         for p in pars.sort_values("par_no").itertuples():
             d = known.get((p.num_id, int(p.ilvl)))
             if d is None:
-                rows.append((key[0], p.par_no, None))
+                rows.append((key[0], p.par_no, None, None))
                 continue
             state = counters.setdefault(d.abstract_id, {})
             if p.num_id not in begun:
@@ -60,7 +60,7 @@ def numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
             for k in deeper:
                 state.pop(k)
             if d.fmt in UNNUMBERED:
-                rows.append((key[0], p.par_no, None))
+                rows.append((key[0], p.par_no, None, d.fmt))
                 continue
             text = d.lvl_text
             for k in range(9, 0, -1):
@@ -68,7 +68,7 @@ def numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
                 if f"%{k}" in text:
                     # a level without a definition counts as decimal, from 1
                     text = text.replace(f"%{k}", counter_text(int(state.get(k - 1, 1 if x is None else x.start)), "decimal" if x is None else x.fmt))
-            rows.append((key[0], p.par_no, text.strip()))
-        return pd.DataFrame(rows, columns=["doc_id", "par_no", "number"])
+            rows.append((key[0], p.par_no, text.strip(), d.fmt))
+        return pd.DataFrame(rows, columns=["doc_id", "par_no", "number", "list_format"])
 
-    return paragraphs.groupBy("doc_id").cogroup(levels.groupBy("doc_id")).applyInPandas(run, "doc_id string, par_no long, number string")
+    return paragraphs.groupBy("doc_id").cogroup(levels.groupBy("doc_id")).applyInPandas(run, "doc_id string, par_no long, number string, list_format string")
