@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,12 +34,31 @@ from .components import connected_components
 
 ROWS = 5
 BLOCK = 512
+#: Bits of the filter that keeps texts out of a shuffle: at most SLOTS / 64 rows are broadcast.
+SLOTS = 1 << 26
 
 
 def bands_for(percent: int) -> int:
     return math.ceil(math.log(1e-7) / math.log(1 - (percent / 100) ** ROWS))
 
 
+def _slot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c.cast("long")), F.lit(SLOTS))
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """(word, bits): the bits of the slots of all ids (doc_id), 64 a row."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))
+    return ids.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+
+
+def may_hold(rows: DataFrame, col: str, ids: DataFrame, never: bool = False) -> DataFrame:
+    """The rows whose id in col may be one of ids (doc_id): all that are and a few others, found without a shuffle of the rows; never: the rest."""
+    slot = _slot(F.col(col))
+    at = (F.shiftright(slot, 6) == F.col("word")) & (F.getbit("bits", slot.bitwiseAND(63).cast("int")) == 1)
+    return rows.join(F.broadcast(id_filter(ids)), at, "left_anti" if never else "left_semi")
+
+
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), kind))
@@ -182,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     star = members.select("rep", F.explode(F.array("lo", "hi")).alias("end")).filter("rep <> end").select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi"), words), name="sets")
+    sets = written(full_sets(may_hold(texts, "doc_id", wanted).join(wanted, "doc_id", "left_semi"), words), name="sets")
     # rows that repeat a doc_id with different texts tie the classes of these together
     own = usable.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -90,3 +91,22 @@ def test_run_against_brute_force(spark):
         assert r["n_bytes"] == len((r["text"] or "").encode())
         by.setdefault(r["shard"], []).append(r)
     assert all(sum(r["n_bytes"] for r in rs) == rs[0]["shard_bytes"] and len(rs) == rs[0]["shard_docs"] for rs in by.values())
+
+
+def test_near_dedup_shuffles_no_text_that_is_like_no_other(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(3000)), "en", "a") for k in range(120)]
+    docs = cp.written(spark.createDataFrame([*rows, (200, rows[7][1], "en", "b"), (7, rows[7][1], "en", "a")], "doc_id long, text string, lang string, source string"))
+    moved = lambda: sum(x.totalShuffleWrite() for x in (e.apply(k) for e in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for k in range(e.size())))
+    before = moved()
+    got = cp.written(cp.drop_near_duplicates(spark, docs, DATA))
+    assert moved() - before < 0.5 * sum(len(x[1]) for x in rows)
+    assert sorted(x["doc_id"] for x in got.collect()) == list(range(120))
+
+
+def test_may_hold_leaves_no_id_out(spark, monkeypatch):
+    monkeypatch.setattr(cp.near_dedup, "SLOTS", 1 << 12)
+    rows, ids = spark.range(-500, 5000).withColumnRenamed("id", "x"), spark.range(-500, 5000, 13).withColumnRenamed("id", "doc_id")
+    rows = rows.union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    some, rest = ({x["x"] for x in cp.near_dedup.may_hold(rows, "x", ids, never).collect()} for never in (False, True))
+    assert {x["doc_id"] for x in ids.collect()} <= some and not some & rest and len(some) + len(rest) == 5501 and len(rest) > 4000
