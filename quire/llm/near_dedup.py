@@ -59,6 +59,14 @@ def may_hold(rows: DataFrame, col: str, ids: DataFrame, never: bool = False) ->
     return rows.join(F.broadcast(id_filter(ids)), at, "left_anti" if never else "left_semi")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written, with the shuffle files of the tables settled before let go: Spark drops them once the driver collects garbage, which it may
+    put off till the end."""
+    out = written(df, name=name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), kind))
@@ -192,21 +200,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = written(sketch(texts, words, bands), name="sketch")
     usable = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), name="classes")
+    classes = settled(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     first = F.row_number().over(W.partitionBy("n", "d1", "d2").orderBy("doc_id"))
-    reps = written(usable.withColumn("first", first).filter("first = 1").select(F.col("doc_id").alias("rep"), "low", "bands"), name="reps")
+    reps = settled(usable.withColumn("first", first).filter("first = 1").select(F.col("doc_id").alias("rep"), "low", "bands"), "reps")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    members = written(banded.join(ends, "key"), name="members")
+    members = settled(banded.join(ends, "key"), "members")
 
     star = members.select("rep", F.explode(F.array("lo", "hi")).alias("end")).filter("rep <> end").select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(full_sets(may_hold(texts, "doc_id", wanted).join(wanted, "doc_id", "left_semi"), words), name="sets")
+    sets = settled(full_sets(may_hold(texts, "doc_id", wanted).join(wanted, "doc_id", "left_semi"), words), "sets")
     # rows that repeat a doc_id with different texts tie the classes of these together
     own = usable.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
     tied = own.join(several, "doc_id").filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
-    links = written(verified(star, sets, percent).union(tied), name="links")
+    links = settled(verified(star, sets, percent).union(tied), "links")
     found = connected_components(links)
 
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("comp"))

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -110,3 +112,18 @@ def test_may_hold_leaves_no_id_out(spark, monkeypatch):
     rows = rows.union(spark.sql("SELECT CAST(NULL AS LONG)"))
     some, rest = ({x["x"] for x in cp.near_dedup.may_hold(rows, "x", ids, never).collect()} for never in (False, True))
     assert {x["doc_id"] for x in ids.collect()} <= some and not some & rest and len(some) + len(rest) == 5501 and len(rest) > 4000
+
+
+def test_settled_lets_shuffle_files_go(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    held = lambda: {f for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+    table = lambda: cp.near_dedup.settled(spark.range(100000).repartition(7, "id").withColumnRenamed("id", "x"), "t")
+    before = held()
+    got = table()
+    first = held() - before
+    time.sleep(1)
+    table()
+    until = time.time() + 10
+    while held() & first and time.time() < until:
+        time.sleep(0.2)
+    assert got.count() == 100000 and not held() & first
