@@ -86,9 +86,10 @@ def clean_text_lines(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    """The sentences of c: cut behind a closing mark where a capital, digit or parenthesis follows."""
-    parts = F.split(c, f"(?<=[.!?;:])\\s+(?=[{CAPITAL}])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    """The sentences of c: cut behind a closing mark where blanks and a capital, digit or parenthesis follow."""
+    parts = F.split(c, f"(?<=[.!?;:])[ \\t\\n\\f\\r]+(?=[{CAPITAL}])")
+    # not F.trim itself: transform would pass it each sentence's position as the signs to trim
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def continues_sentence(lead: Column, follow: Column) -> Column:

@@ -107,3 +107,16 @@ def test_merge_short_joins_siblings():
     out = merging.merge_short(folds.build_sections(blocks), 60, 512)
     assert len(out) == 1 and out[0].number == "1.1 + 1.2 + 1.3"
     assert len(merging.merge_short(folds.build_sections(blocks), 0, 512)) == 3
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("0 rows are 100. 19.37.233.111", ["0 rows are 100.", "19.37.233.111"]),
+        (" A. 2b 2! 10 ", ["A.", "2b 2!", "10"]),
+        ("A.\x0bB. \t C", ["A.\x0bB.", "C"]),
+        ("", []),
+    ],
+)
+def test_sentences_keep_their_digits(spark, text, want):
+    assert value(spark, tx.split_sentences(F.lit(text))) == want
