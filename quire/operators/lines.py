@@ -5,7 +5,7 @@ Lines are (doc_id, page, line_no, text, y, page_h) with x0, size, bold where a r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,11 +74,19 @@ def outside_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
 def rebuild_spaces(glyphs: DataFrame) -> DataFrame:
     """(line_id, text) of glyphs (line_id, dir_y, span_no, size, char_no, c, x0, x1): blanks come from gaps of 0.12 of the
     size; lines that are turned keep theirs."""
-    turned = F.abs("dir_y") >= 0.01
-    order = W.partitionBy("line_id").orderBy("span_no", "char_no")
-    seen = glyphs.filter(turned | (F.trim("c") != "")).withColumn("gap", F.col("x0") - F.lag("x1").over(order))
-    part = F.when(~turned & (F.col("gap") >= F.col("size") * 0.12), F.concat(F.lit(" "), F.col("c"))).otherwise(F.col("c"))
-    return seen.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("span_no", "char_no", part.alias("p")))).alias("ps")).select("line_id", F.array_join(F.transform("ps", lambda p: p["p"]), "").alias("text"))
+    glyph = F.struct("span_no", "char_no", "dir_y", "size", "c", "x0", "x1")
+    lines = glyphs.groupBy("line_id").agg(F.sort_array(F.collect_list(glyph)).alias("gs")).withColumn("text", spaced("gs"))
+    return lines.filter(F.col("text").isNotNull()).select("line_id", "text")
+
+
+def spaced(glyphs: str) -> Column:
+    """The text of an array column of glyphs in order (dir_y, size, c, x0, x1), as in rebuild_spaces; null without a glyph to show.
+    Lines that are held whole need no shuffle."""
+    turned = lambda g: F.abs(g["dir_y"]) >= 0.01
+    seen = F.filter(F.col(glyphs), lambda g: turned(g) | (F.trim(g["c"]) != ""))
+    # exploding one element would make a row of it: the array is bound by a lambda instead, so that it is made once
+    part = lambda gs: F.transform(gs, lambda g, k: F.when(~turned(g) & (g["x0"] - F.get(gs, k - 1)["x1"] >= g["size"] * 0.12), F.concat(F.lit(" "), g["c"])).otherwise(g["c"]))
+    return F.get(F.transform(F.array(seen), lambda gs: F.when(F.size(gs) > 0, F.array_join(part(gs), ""))), F.lit(0))
 
 
 def join_rows(lines: DataFrame, tolerance: float = 2.5) -> DataFrame:

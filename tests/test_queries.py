@@ -42,6 +42,11 @@ def test_ghost_spaces_whole_texts(spark, tmp_path):
     assert got == {k: " ".join(t.split()) for k, t in enumerate(texts) if t is not None}
 
 
+def test_ghost_spaces_of_whole_lines_need_no_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "Exchange" not in QUERIES["ghost_space_rebuild"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_chunk_invariants(spark):
     c = entry.entry(spark).toPandas()
