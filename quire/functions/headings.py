@@ -136,9 +136,14 @@ def column_labels(title: Column) -> Column:
     return F.when(F.size(fields) > 1, F.transform(named, lambda f: F.lower(F.trim(F.substring_index(f, ":", 1))))).otherwise(F.array().cast("array<string>"))
 
 
-def drop_column_label(title: Column, labels: Column, limit: int = 60) -> Column:
-    """A title of one field without a label that the document's rows have; what is left is a name if it is short."""
+def own_label(title: Column, limit: int = 60) -> tuple[Column, Column]:
+    """The label of a title of one field, null for others, and what is left without it: a name if it is short, else empty."""
     single = F.size(F.split(title, FIELD_MARK)) == 1
     rest = F.trim(F.when(F.instr(title, ":") > 0, F.substr(title, F.instr(title, ":") + 1)).otherwise(""), F.lit(" :.-–"))
-    known = F.array_contains(labels, F.lower(F.trim(F.substring_index(title, ":", 1))))
-    return F.when(~single | ~F.coalesce(known, F.lit(False)), title).when(F.length(rest) <= limit, rest).otherwise("")
+    return F.when(single, F.lower(F.trim(F.substring_index(title, ":", 1)))), F.when(F.length(rest) <= limit, rest).otherwise("")
+
+
+def drop_column_label(title: Column, labels: Column, limit: int = 60) -> Column:
+    """A title of one field without a label that the document's rows have."""
+    label, rest = own_label(title, limit)
+    return F.when(F.coalesce(F.array_contains(labels, label), F.lit(False)), rest).otherwise(title)

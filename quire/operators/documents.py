@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions.headings import ANY_FORM, BANNER, column_labels, drop_column_label, looks_like_heading, match_heading, word_rank
+from ..functions.headings import ANY_FORM, BANNER, column_labels, looks_like_heading, match_heading, own_label, word_rank
 from ..functions.merging import merge_short
 from ..functions.text import clean_text, clean_text_lines, est_tokens, split_sentences, token_units
+from .ordered import by_document
 from .retrieval import link, parts
 
 FIGURES = "array<struct<caption:string,width:int,height:int,file:string,page:int>>"
@@ -75,25 +76,37 @@ def detect_headings(blocks: DataFrame) -> DataFrame:
     are content; the kinds of marks that are left are ranked densely to levels. Blocks with size and number may hold banners;
     those with number, level and list_format carry Word's numbers."""
 
-    def sequence(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("block_no")
-        return g[["doc_id", "block_no"]].assign(ok=folds.keep_sequence(list(zip(g["number"], g["kind"], g["from_word"], strict=True))))
-
     if {"size", "number"} <= set(blocks.columns):
         blocks = with_banners(blocks)
     found = candidates(blocks)
     if "banner" in blocks.columns:
         name = F.struct(F.lit("").alias("number"), F.col("banner").alias("title"), F.lit(BANNER).alias("rank"), F.lit("banner").alias("kind"))
         found = found.withColumn("hit", F.when(F.col("banner").isNotNull(), name).otherwise(F.col("hit")))
-    found = found.filter("hit IS NOT NULL").select("doc_id", "block_no", "hit.*", "from_word")
-    kept = found.select("doc_id", "block_no", "number", "kind", "from_word").groupBy("doc_id").applyInPandas(sequence, "doc_id string, block_no long, ok boolean").filter("ok")
-    ranked = found.join(kept, ["doc_id", "block_no"]).withColumn("lv", F.dense_rank().over(W.partitionBy("doc_id").orderBy("rank")))
-    labels = ranked.select("doc_id", F.explode(column_labels(F.col("title"))).alias("l")).groupBy("doc_id").agg(F.collect_set("l").alias("labels"))
-    ranked = ranked.join(labels, "doc_id", "left").withColumn("title", drop_column_label(F.col("title"), F.coalesce("labels", F.array().cast("array<string>"))))
-    marks = ranked.select("doc_id", "block_no", F.col("number").alias("_n"), F.col("title").alias("_t"), F.col("kind").alias("_k"), "lv")
-    out = blocks.drop("number", "level", "heading_kind", "title").join(marks, ["doc_id", "block_no"], "left")
-    whole = F.when((F.col("_t") != "") | (F.rtrim("text", F.lit(".")) == F.rtrim("_n", F.lit("."))), F.col("_t")).otherwise(F.col("text"))
-    return out.select("doc_id", "block_no", "text", "page", F.when(F.col("_n").isNotNull(), "heading").otherwise(F.col("kind")).alias("kind"), F.col("_n").alias("number"), F.col("lv").cast("int").alias("level"), "bold", "is_table", F.coalesce("_k", F.lit("")).alias("heading_kind"), F.when(F.col("_n").isNotNull(), whole).alias("title"))
+    hit = F.col("hit.number").isNotNull()
+    title = F.col("hit.title")
+    label, bare = own_label(title)
+    # an empty number or title tells a heading whose line is its number from others
+    whole = lambda shown: (shown != "") | (F.rtrim("text", F.lit(".")) == F.rtrim("hit.number", F.lit(".")))
+    told = found.select(
+        "doc_id", F.col("block_no").cast("long").alias("block_no"), "text", F.col("page").cast("int").alias("page"), "kind", "bold", "is_table", "hit.number", F.col("hit.kind").alias("mark"), "hit.rank", "hit.title", "from_word",
+        F.when(hit, column_labels(title)).alias("labels"), F.when(hit, label).alias("label"), F.when(hit, bare).alias("bare"), F.when(hit, whole(title)).alias("named"), F.when(hit, whole(bare)).alias("bare_named"),
+    )
+    return by_document(told, "block_no", _headings, BLOCKS)
+
+
+def _headings(rows: list[tuple]) -> Iterator[tuple]:
+    """A document's blocks with their headings, from the columns that detect_headings tells."""
+    hits = [r for r in rows if r[7] is not None]
+    kept = [r for r, ok in zip(hits, folds.keep_sequence([(r[7], r[8], r[11]) for r in hits]), strict=True) if ok]
+    level = {rank: k + 1 for k, rank in enumerate(sorted({r[9] for r in kept}))}
+    labels = {x for r in kept for x in r[12]}
+    marks = {r[1] for r in kept}
+    for doc, no, text, page, kind, bold, is_table, number, mark, rank, title, _, _, label, bare, named, bare_named in rows:
+        if no in marks and number is not None:
+            shown, named = (bare, bare_named) if label in labels else (title, named)
+            yield doc, no, text, page, "heading", number, level[rank], bold, is_table, mark, shown if named else text
+        else:
+            yield doc, no, text, page, kind, None, None, bold, is_table, "", None
 
 
 def _measured(blocks: DataFrame) -> DataFrame:
@@ -101,13 +114,18 @@ def _measured(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"chars": F.length("text"), "units": token_units(F.col("text"))})
 
 
-def _blocks(g: pd.DataFrame) -> list[folds.Block]:
-    none = lambda x: None if x is None or x != x else x
-    return [folds.Block(r.text, int(r.page), r.kind, none(r.number), None if none(r.level) is None else int(r.level), bool(r.bold), bool(r.is_table), none(r.heading_kind) or "", none(r.title), None, (int(r.chars), int(r.units))) for r in g.sort_values("block_no").itertuples()]
+#: The columns of a document's rows in the folds over its blocks.
+FOLDED = ("doc_id", "text", "page", "kind", "number", "level", "bold", "is_table", "heading_kind", "title", "chars", "units", "block_no")
+
+
+def folded(blocks: DataFrame, run: Callable[[object, list[folds.Section]], Iterator[tuple]], cfg: folds.ChunkConfig | None, schema: str) -> DataFrame:
+    """The rows that run makes of each document's id and sections, short ones merged where a config is given."""
+    return by_document(_measured(blocks).select(*FOLDED), "block_no", lambda rows: run(rows[0][0], _sections(rows, cfg)), schema)
 
 
-def _sections(g: pd.DataFrame, cfg: folds.ChunkConfig | None) -> list[folds.Section]:
-    out = folds.build_sections(_blocks(g))
+def _sections(rows: list[tuple], cfg: folds.ChunkConfig | None) -> list[folds.Section]:
+    blocks = [folds.Block(text, page, kind, number, level, bool(bold), bool(is_table), heading_kind or "", title, None, (chars, units)) for _, text, page, kind, number, level, bold, is_table, heading_kind, title, chars, units, _ in rows]
+    out = folds.build_sections(blocks)
     return merge_short(out, cfg.min_tokens, cfg.max_tokens) if cfg is not None and cfg.merge_short else out
 
 
@@ -117,11 +135,10 @@ SECTIONS = "doc_id string, section_no int, number string, title string, level in
 def sections(blocks: DataFrame, cfg: folds.ChunkConfig | None = None) -> DataFrame:
     """One row per section of detected blocks, short ones merged where a config is given."""
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], i, s.number, s.title, s.level, s.path, s.kind, s.heading_text, s.page_start, s.page_end, len(s.blocks), s.tokens()) for i, s in enumerate(_sections(g, cfg))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
+    def run(doc: object, found: list[folds.Section]) -> Iterator[tuple]:
+        return ((doc, i, s.number, s.title, s.level, s.path, s.kind, s.heading_text, s.page_start, s.page_end, len(s.blocks), s.tokens()) for i, s in enumerate(found))
 
-    return _measured(blocks).groupBy("doc_id").applyInPandas(run, SECTIONS)
+    return folded(blocks, run, cfg, SECTIONS)
 
 
 PIECES = f"doc_id string, idx long, page int, piece string, head string, section_number string, section_title string, section_path string, section_level int, has_table boolean, figures {FIGURES}"
@@ -129,14 +146,12 @@ PIECES = f"doc_id string, idx long, page int, piece string, head string, section
 
 def pieces(blocks: DataFrame, cfg: folds.ChunkConfig) -> DataFrame:
     """The ordered pieces of detected blocks: what depends on a document's own earlier decisions ends here."""
-    names = [c.split()[0] for c in PIECES.replace(FIGURES, "x").split(", ")]
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        found = folds.document_pieces(_sections(g, cfg), cfg)
-        rows = [(key[0], i, p.page, p.text, folds.prefix(p.section, cfg), p.section.number, p.section.title, " > ".join(p.section.path), p.section.level, p.has_table, p.figures) for i, p in enumerate(found)]
-        return pd.DataFrame(rows, columns=names)
+    def run(doc: object, sections_: list[folds.Section]) -> Iterator[tuple]:
+        found = folds.document_pieces(sections_, cfg)
+        return ((doc, i, p.page, p.text, folds.prefix(p.section, cfg), p.section.number, p.section.title, " > ".join(p.section.path), p.section.level, p.has_table, p.figures) for i, p in enumerate(found))
 
-    return _measured(blocks).groupBy("doc_id").applyInPandas(run, PIECES)
+    return folded(blocks, run, cfg, PIECES)
 
 
 def chunks(blocks: DataFrame, cfg: folds.ChunkConfig | None = None, source_file: str = "", page_source: str = "estimated") -> DataFrame:
@@ -146,10 +161,11 @@ def chunks(blocks: DataFrame, cfg: folds.ChunkConfig | None = None, source_file:
     order = W.partitionBy("doc_id").orderBy("idx")
     p = parts(pieces(blocks, cfg)).withColumn("chunk_id", F.format_string("%s#p%d#%04d", "doc_id", "page", "idx"))
     p = link(p).withColumn("before", F.lag("piece").over(order))
-    last = split_sentences(F.col("before"))
-    last = F.when(F.size(last) > 0, last).otherwise(F.array("before"))
     n = cfg.overlap_sentences
-    p = p.withColumn("carry", F.trim(F.array_join(F.slice(last, F.greatest(F.size(last) - n + 1, F.lit(1)), n), " ")) if n > 0 else F.lit(""))
+    # bound by a lambda, so that the sentences are told once, and only where the chunk goes on in its section
+    ends = lambda x: F.when(F.size(x) > 0, F.array_join(F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), n), " ")).otherwise(F.col("before"))
+    last = F.get(F.transform(F.array(split_sentences(F.col("before"))), ends), F.lit(0))
+    p = p.withColumn("carry", F.when(F.col("is_continuation"), F.trim(last)).otherwise("") if n > 0 else F.lit(""))
     fits = est_tokens(F.col("head")) + est_tokens(F.col("piece")) + est_tokens(F.col("carry")) + 3 <= cfg.max_tokens
     body = F.when(F.col("is_continuation") & (F.col("carry") != "") & fits, F.concat(F.lit("[...] "), "carry", F.lit("\n"), "piece")).otherwise(F.col("piece"))
     first = F.trim(F.substring_index("body", "\n", 1))

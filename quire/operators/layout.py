@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions import layout as ly
 from ..functions.text import markdown_rows
-from .documents import _measured, _sections
+from .documents import folded
 
 ITEMS = "doc_id string, page int, item_no long, section_no int, part_index int, part_total int, kind string, text string, level int, size double, height double, width double, caption string"
 BULLET = r"^\s*([-–—•+*]|\(?[a-zđ]\)|\(?[ivx]+\)|\d+[.)])\s+"
@@ -20,14 +21,12 @@ CONTENT_WIDTH, EMPTY_PAGE = 470.0, 15
 def layout(blocks: DataFrame, cfg: folds.ChunkConfig | None = None, title: str = "", by_section: bool = False, lines_per_page: int = ly.LINES_PER_PAGE, drop_cover: bool = True) -> DataFrame:
     """The items of detected blocks, in one flow or with pages of one section each. One task lays out one document."""
     cfg = cfg or folds.ChunkConfig()
-    names = [c.split()[0] for c in ITEMS.split(", ")]
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        placed = ly.laid_out(_sections(g, cfg), lines_per_page, cfg.max_tokens, drop_cover, by_section, title)
-        rows = [(key[0], p.page, k, p.section, p.part, p.parts, p.item.kind, p.item.text, p.item.level, p.item.size, p.item.height, p.item.width, p.item.caption) for k, p in enumerate(placed)]
-        return pd.DataFrame(rows, columns=names)
+    def run(doc: object, sections: list[folds.Section]) -> Iterator[tuple]:
+        placed = ly.laid_out(sections, lines_per_page, cfg.max_tokens, drop_cover, by_section, title)
+        return ((doc, p.page, k, p.section, p.part, p.parts, p.item.kind, p.item.text, p.item.level, p.item.size, p.item.height, p.item.width, p.item.caption) for k, p in enumerate(placed))
 
-    return _measured(blocks).groupBy("doc_id").applyInPandas(run, ITEMS)
+    return folded(blocks, run, cfg, ITEMS)
 
 
 def item_lines(kind: Column, text: Column, size: Column, height: Column) -> Column:

@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,15 @@ def test_merge_short_joins_siblings():
 )
 def test_sentences_keep_their_digits(spark, text, want):
     assert value(spark, tx.split_sentences(F.lit(text))) == want
+
+
+def test_every_folded_sign_passes_the_guard(spark):
+    signs = [*tx.FROM, *tx.ONE_TO_MANY, *tx.SYMBOL_FONT, *tx.ARROWS, chr(0xE000), chr(0xF8FF)]
+    rows = spark.createDataFrame([(x,) for x in signs], "c string").select("c", tx.fold_symbols(F.col("c")).alias("v")).collect()
+    assert len(rows) == len(signs) and all(r["v"] != r["c"] for r in rows)
+
+
+@pytest.mark.parametrize("text", ["a\x0bb  seven77 fourteen144444 é1234567\n\n, .", "\x0b\f", "𝐌" * 15, "|" * 8 + " _ "])
+def test_token_units_are_counted_by_words(spark, text):
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    assert value(spark, tx.token_units(F.lit(text))) == sum(1 + len(w) // 7 for w in words) + sum(unicodedata.category(x)[0] not in "LN" and x not in " \t\n\x0b\f\r" for x in text)
