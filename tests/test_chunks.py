@@ -147,3 +147,12 @@ def test_warnings_reach_the_chunks(spark):
     blocks = dc.document_blocks(spark.createDataFrame([(1, "tiny")], "doc_id long, text string"))
     assert dc.chunks(dc.detect_headings(blocks)).first()["warnings"] == ["very short"]
     assert dc.chunks(dc.detect_headings(blocks.filter(F.lit(False)))).count() == 0
+
+
+def test_headings_and_sections_need_one_shuffle_each(spark):
+    """The patterns of all lines are tried once: no join of the blocks with their own marks."""
+    docs = spark.createDataFrame([(1, "1. One\ntext\n2. Two")], "doc_id long, text string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    headed = dc.detect_headings(dc.document_blocks(docs))
+    assert plan(headed).count("Exchange") == 1 and "Join" not in plan(headed)
+    assert plan(dc.sections(headed)).count("Exchange") == 2
